@@ -5,7 +5,7 @@ Each operator answers for all customers in one job; ``customer_id`` narrows it t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.operators.relations import (
@@ -13,6 +13,7 @@ from quillmart.operators.relations import (
     customer_book_details,
     customer_frequent_genre,
     only_customer,
+    orders_of,
     sales_lines,
 )
 
@@ -34,7 +35,7 @@ def purchased_in_preferred_genre(
     customer_id: int | None = None,
 ) -> DataFrame:
     """The lines each customer bought inside the favourite genre."""
-    tables = (orders, order_details, books, genre, customer_id)
+    tables = (orders_of(orders, customer_id), order_details, books, genre)
     favourite = preferred_genre(customer_frequent_genre(*tables))
     return (
         customer_book_details(*tables)
@@ -49,12 +50,16 @@ def preferred_genre_best_sellers(
     books: DataFrame,
     genre: DataFrame,
     customer_id: int | None = None,
+    best_sellers: DataFrame | None = None,
 ) -> DataFrame:
     """Best sellers of the favourite genre, owned or not."""
-    return _candidates(
-        customer_frequent_genre(orders, order_details, books, genre, customer_id),
-        best_sellers_by_genre(order_details, books, genre),
-    ).select("customer_id", "genre_title", "title", "book_id")
+    best = _best_sellers(best_sellers, order_details, books, genre)
+    frequent = customer_frequent_genre(orders, order_details, books, genre, customer_id)
+    return (
+        preferred_genre(frequent)
+        .join(best, "genre_title")
+        .select("customer_id", "genre_title", "title", "book_id")
+    )
 
 
 def recommend_books(
@@ -63,29 +68,54 @@ def recommend_books(
     books: DataFrame,
     genre: DataFrame,
     customer_id: int | None = None,
+    best_sellers: DataFrame | None = None,
 ) -> DataFrame:
     """Best sellers of the favourite genre that the customer does not own yet.
 
-    Ownership only matters for best sellers, so the lines are reduced to those before they meet the
-    orders again. For a single customer the rows come best first.
+    One pass over the sales lines counts the purchases per customer and genre, with each best seller
+    counted apart. The counts give both the favourite genre and the best sellers owned in it, and
+    the two uses read the same shuffle.
+
+    ``best_sellers`` takes a stored result of ``best_sellers_by_genre``. Its file size is known
+    before the job starts, so a small one is broadcast to the lines; computed here, its size is
+    known only while the lines are already on their way. For a single customer the rows come best
+    first.
     """
-    best = best_sellers_by_genre(order_details, books, genre)
-    candidates = _candidates(
-        customer_frequent_genre(orders, order_details, books, genre, customer_id), best
+    best = _best_sellers(best_sellers, order_details, books, genre)
+    counts = (
+        sales_lines(orders_of(orders, customer_id), order_details)
+        .filter(F.col("customer_id").isNotNull())
+        .join(books.select("book_id", "genre_id"), "book_id")
+        .join(
+            best.select("book_id", F.col("book_id").alias("owned_book_id")), "book_id", "left"
+        )
+        .join(genre, "genre_id")
+        .groupBy("customer_id", "genre_title", "owned_book_id")
+        .agg(F.count("*").alias("lines"))
     )
-    best_lines = order_details.join(best.select("book_id"), "book_id", "left_semi")
-    owned = (
-        sales_lines(only_customer(orders, customer_id), best_lines)
-        .select("customer_id", "book_id")
-        .distinct()
+    in_genre = Window.partitionBy("customer_id", "genre_title")
+    by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"), "genre_title")
+    favourite = (
+        counts.withColumn("genre_count", F.sum("lines").over(in_genre))
+        .withColumn("rnk", F.rank().over(by_count))
+        .filter(F.col("rnk") == 1)
     )
-    recommended = candidates.join(owned, ["customer_id", "book_id"], "left_anti").select(
-        "customer_id", "genre_title", "title", "book_id", "total_book_sales"
+    owned = favourite.filter(F.col("owned_book_id").isNotNull()).select(
+        "customer_id", F.col("owned_book_id").alias("book_id")
+    )
+    recommended = (
+        favourite.select("customer_id", "genre_title")
+        .distinct()
+        .join(best, "genre_title")
+        .join(owned, ["customer_id", "book_id"], "left_anti")
+        .select("customer_id", "genre_title", "title", "book_id", "total_book_sales")
     )
     if customer_id is None:
         return recommended
     return recommended.orderBy(F.desc("total_book_sales"), "title", "book_id")
 
 
-def _candidates(frequent_genre: DataFrame, best: DataFrame) -> DataFrame:
-    return preferred_genre(frequent_genre).join(best, "genre_title")
+def _best_sellers(
+    stored: DataFrame | None, order_details: DataFrame, books: DataFrame, genre: DataFrame
+) -> DataFrame:
+    return best_sellers_by_genre(order_details, books, genre) if stored is None else stored

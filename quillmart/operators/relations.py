@@ -3,9 +3,10 @@
 Keys: ``order_id`` in orders, ``book_id`` in books, ``genre_id`` in genre, ``publisher_id`` in
 publisher and ``customer_id`` in customer are unique. Titles and names are not.
 
-No join carries a broadcast hint. Spark broadcasts a side only when its file size, or under AQE its
-measured shuffle size, is below the configured threshold, and otherwise runs a sort-merge join whose
-hot partitions AQE splits. The dimension sides grow with the data, so the choice is left to that check.
+Dimension joins carry no broadcast hint, as dimensions grow with the data. Spark broadcasts a side
+when its file size, or under AQE its measured shuffle size, is below the configured threshold, and
+otherwise runs a sort-merge join whose hot partitions AQE splits. Lines are joined with the tables
+themselves, not with joins of them, so that the file sizes are known when the plan is made.
 """
 
 from __future__ import annotations
@@ -15,22 +16,32 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import classify_average, classify_rating
 
+# Orders of one customer that are broadcast at most: a few megabytes.
+LOOKUP_ORDERS = 100_000
+
 
 def only_customer(df: DataFrame, customer_id: int | None) -> DataFrame:
     """Rows of one customer, or all rows when no customer is given."""
     return df if customer_id is None else df.filter(F.col("customer_id") == int(customer_id))
 
 
+def orders_of(orders: DataFrame, customer_id: int | None) -> DataFrame:
+    """``only_customer`` for orders that are about to meet their lines.
+
+    The orders of one customer are counted, and broadcast only when they are few, which saves a
+    look-up the shuffle of all lines. Of a customer with more orders the lines are shuffled.
+    """
+    if customer_id is None:
+        return orders
+    own = only_customer(orders, customer_id)
+    return F.broadcast(own) if own.count() <= LOOKUP_ORDERS else own
+
+
 def sales_lines(orders: DataFrame, order_details: DataFrame) -> DataFrame:
     """Order lines with the columns of their order: the one fact-to-fact join."""
     return order_details.join(orders, "order_id")
 
 
-def books_with_genre(books: DataFrame, genre: DataFrame) -> DataFrame:
-    """Books with their genre title, joined once per book instead of once per line."""
-    return books.join(genre, "genre_id").select("book_id", "title", "genre_title")
-
-
 def customer_book_details(
     orders: DataFrame,
     order_details: DataFrame,
@@ -39,9 +50,11 @@ def customer_book_details(
     customer_id: int | None = None,
 ) -> DataFrame:
     """One row per purchased line; a book bought twice appears twice."""
-    lines = sales_lines(only_customer(orders, customer_id), order_details)
-    return lines.join(books_with_genre(books, genre), "book_id").select(
-        "customer_id", "book_id", "title", "genre_title"
+    return (
+        sales_lines(orders_of(orders, customer_id), order_details)
+        .join(books.select("book_id", "title", "genre_id"), "book_id")
+        .join(genre, "genre_id")
+        .select("customer_id", "book_id", "title", "genre_title")
     )
 
 

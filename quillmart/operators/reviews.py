@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import in_year
 from quillmart.operators.relations import (
-    books_with_genre,
     review_sentiment,
     review_totals,
     with_names,
@@ -64,7 +63,8 @@ def genre_sentiment(
         .agg(F.count("*").alias("reviews"))
     )
     counts = (
-        per_book.join(books_with_genre(books, genre), "book_id")
+        per_book.join(books.select("book_id", "genre_id"), "book_id")
+        .join(genre, "genre_id")
         .groupBy("genre_title", "review_classification")
         .agg(F.sum("reviews").alias("review_count"))
     )

@@ -9,11 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillmart import schemas
-from quillmart.sources.star import conform_table
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed: the columns used, as the files declare them.
 RAW = {
@@ -28,12 +24,12 @@ RAW = {
 }
 
 
-def title_id(title: Column) -> Column:
-    return F.conv(F.substring(F.md5(title.cast("binary")), 1, 15), 16, 10).cast("bigint")
+def title_id(title: str) -> str:
+    return f"CAST(conv(substring(md5(CAST({title} AS BINARY)), 1, 15), 16, 10) AS BIGINT)"
 
 
 class SyntheticStar:
-    """The tables of ``StarTables``, each built when first asked for."""
+    """The tables of ``StarTables`` with the types of ``schemas``, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
@@ -44,95 +40,72 @@ class SyntheticStar:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return conform_table(
-            "orders",
-            self._raw("orders").select(
-                F.col("o_orderkey").alias("order_id"),
-                F.col("o_custkey").alias("customer_id"),
-                F.col("o_orderdate").cast("date").alias("order_date"),
-                F.col("o_totalprice").cast(schemas.MONEY).alias("total_amount"),
-            ),
+        return self._raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "CAST(o_orderdate AS DATE) AS order_date",
+            "CAST(o_totalprice AS DECIMAL(18, 2)) AS total_amount",
         )
 
     @cached_property
     def order_details(self) -> DataFrame:
-        return conform_table(
-            "order_details",
-            self._raw("lineitem").select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_partkey").alias("book_id"),
-                F.col("l_quantity").cast("int").alias("quantity"),
-                F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
-            ),
+        return self._raw("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS book_id",
+            "CAST(l_quantity AS INT) AS quantity",
+            "CAST(round(l_discount * 100) AS INT) AS discount",
         )
 
     @cached_property
     def books(self) -> DataFrame:
-        return conform_table(
-            "books",
-            self._raw("part").select(
-                F.col("p_partkey").alias("book_id"),
-                F.col("p_name").alias("title"),
-                title_id(F.col("p_type")).alias("genre_id"),
-                title_id(F.col("p_brand")).alias("publisher_id"),
-            ),
+        return self._raw("part").selectExpr(
+            "p_partkey AS book_id",
+            "p_name AS title",
+            f"{title_id('p_type')} AS genre_id",
+            f"{title_id('p_brand')} AS publisher_id",
         )
 
     @cached_property
     def genre(self) -> DataFrame:
-        titles = self._raw("part").select(F.col("p_type").alias("genre_title")).distinct()
-        return conform_table("genre", titles.withColumn("genre_id", title_id(F.col("genre_title"))))
+        return (
+            self._raw("part")
+            .select("p_type")
+            .distinct()
+            .selectExpr(f"{title_id('p_type')} AS genre_id", "p_type AS genre_title")
+        )
 
     @cached_property
     def publisher(self) -> DataFrame:
-        names = self._raw("part").select(F.col("p_brand").alias("publisher_name")).distinct()
-        return conform_table(
-            "publisher", names.withColumn("publisher_id", title_id(F.col("publisher_name")))
+        return (
+            self._raw("part")
+            .select("p_brand")
+            .distinct()
+            .selectExpr(f"{title_id('p_brand')} AS publisher_id", "p_brand AS publisher_name")
         )
 
     @cached_property
     def customer(self) -> DataFrame:
-        name = F.split("c_name", "#")
-        segment = F.col("c_mktsegment")
-        gender = (
-            F.when(segment == "BUILDING", "Male")
-            .when(segment == "HOUSEHOLD", "Female")
-            .otherwise(segment)
-        )
-        nation = self._raw("nation").select("n_nationkey", "n_name")
-        joined = self._raw("customer").join(
-            nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-        )
-        return conform_table(
-            "customer",
-            joined.select(
-                F.col("c_custkey").alias("customer_id"),
-                name[0].alias("first_name"),
-                name[1].alias("last_name"),
-                gender.alias("gender"),
-                F.col("n_name").alias("preferred_language"),
-            ),
+        customer, nation = self._raw("customer"), self._raw("nation")
+        return customer.join(
+            nation, customer["c_nationkey"] == nation["n_nationkey"], "left"
+        ).selectExpr(
+            "c_custkey AS customer_id",
+            "split(c_name, '#')[0] AS first_name",
+            "split(c_name, '#')[1] AS last_name",
+            "CASE c_mktsegment WHEN 'BUILDING' THEN 'Male' WHEN 'HOUSEHOLD' THEN 'Female' "
+            "ELSE c_mktsegment END AS gender",
+            "n_name AS preferred_language",
         )
 
     @cached_property
     def reviews(self) -> DataFrame:
-        value = F.col("value")
-        rating = (
-            F.when(value >= 150, 1)
-            .when(value >= 90, 2)
-            .when(value >= 50, 3)
-            .when(value >= 20, 4)
-            .otherwise(5)
-        )
-        return conform_table(
-            "reviews",
-            self._raw("events").select(
-                F.col("event_id").alias("review_id"),
-                F.get_json_object("props", "$.k").cast("bigint").alias("book_id"),
-                F.col("user_id").alias("customer_id"),
-                rating.alias("rating"),
-                F.col("ts").cast("date").alias("review_date"),
-            ),
+        return self._raw("events").selectExpr(
+            "event_id AS review_id",
+            "CAST(get_json_object(props, '$.k') AS BIGINT) AS book_id",
+            "user_id AS customer_id",
+            "CASE WHEN value >= 150 THEN 1 WHEN value >= 90 THEN 2 WHEN value >= 50 THEN 3 "
+            "WHEN value >= 20 THEN 4 ELSE 5 END AS rating",
+            "CAST(ts AS DATE) AS review_date",
         )
 
     @cached_property
@@ -140,22 +113,23 @@ class SyntheticStar:
         """Part names as sub-genres of the part types they occur under."""
         return (
             self._raw("part")
-            .select(F.col("p_name").alias("sub_genre_title"), F.col("p_type").alias("genre_title"))
+            .selectExpr("p_name AS sub_genre_title", "p_type AS genre_title")
             .distinct()
         )
 
     @cached_property
     def states(self) -> DataFrame:
         """A market segment served in a nation as a state, the nation as its division."""
+        nation, region = self._raw("nation"), self._raw("region")
         segments = self._raw("customer").select("c_nationkey", "c_mktsegment").distinct()
         return (
-            segments.join(self._raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self._raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.concat_ws(" ", "n_name", "c_mktsegment").alias("state"),
-                F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("state_code"),
-                F.col("r_name").alias("region"),
-                F.col("n_name").alias("division"),
-                F.col("r_regionkey").cast("string").alias("region_code"),
+            segments.join(nation, segments["c_nationkey"] == nation["n_nationkey"])
+            .join(region, nation["n_regionkey"] == region["r_regionkey"])
+            .selectExpr(
+                "concat_ws(' ', n_name, c_mktsegment) AS state",
+                "concat_ws('-', c_nationkey, c_mktsegment) AS state_code",
+                "r_name AS region",
+                "n_name AS division",
+                "CAST(r_regionkey AS STRING) AS region_code",
             )
         )

@@ -1,0 +1,29 @@
+from conftest import rows
+
+from quillmart import schemas
+from quillmart.operators import dimensions
+
+
+def test_sub_genre_counts_include_genres_without_any(spark, shop):
+    sub_genres = spark.createDataFrame(
+        [("Epic", "Fantasy"), ("Urban", "Fantasy"), ("Epic", "Poetry")], schemas.SUB_GENRES
+    )
+    got = dimensions.sub_genre_counts(shop.genre, sub_genres)
+    assert sorted(rows(got)) == [("Fantasy", 2), ("History", 0), ("Poetry", 1)]
+
+
+def test_region_rollup(spark):
+    states = spark.createDataFrame(
+        [
+            ("Ohio", "OH", "Midwest", "East North Central", "MW"),
+            ("Iowa", "IA", "Midwest", "West North Central", "MW"),
+            ("Utah", "UT", "West", "Mountain", "WR"),
+            ("Idaho", "ID", "West", "Mountain", "WR"),
+        ],
+        schemas.STATES,
+    )
+    assert sorted(rows(dimensions.region_rollup(states))) == [
+        ("Midwest", "East North Central", 1),
+        ("Midwest", "West North Central", 1),
+        ("West", "Mountain", 2),
+    ]
