@@ -1,0 +1,68 @@
+"""Every registered query against its SQL in DuckDB, on whole tables."""
+
+import os
+from pathlib import Path
+
+import duckdb
+import pytest
+from conftest import rows
+
+from quillmart.plans import oracle, registry
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+RAW = ["region", "nation", "customer", "part", "orders", "lineitem", "events"]
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "DATE": "date",
+}
+QUERIES = registry.queries()
+SQL = oracle.oracle_sql()
+
+pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in RAW:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    return connection
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_same_columns_types_and_rows(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(SQL[name])
+    types = {c[0]: TYPES[str(c[1])] for c in result.description}
+    assert dict(df.dtypes) == types
+    expected = [dict(zip(types, r)) for r in result.fetchall()]
+    columns = sorted(types)
+    got = sorted(rows(df.select(columns)), key=repr)
+    assert got == sorted((tuple(r[c] for c in columns) for r in expected), key=repr)
+
+
+ORDERED = [
+    "top_reviewers",
+    "genre_sentiment_best",
+    "genre_sentiment_worst",
+    "genre_sales_by_year",
+    "book_sales_by_year",
+    "top_bottom_books",
+    "declining_sales",
+    "publisher_revenue",
+]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_reports_come_in_order(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    columns = ", ".join(df.columns)
+    expected = duck.execute(f"SELECT {columns} FROM ({SQL[name]}) q").fetchall()
+    assert rows(df) == expected
