@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillmart.operators.relations import (
     best_sellers_by_genre,
-    customer_book_details,
     customer_frequent_genre,
+    most_frequent_genre,
     only_customer,
     orders_of,
     sales_lines,
@@ -34,12 +34,19 @@ def purchased_in_preferred_genre(
     genre: DataFrame,
     customer_id: int | None = None,
 ) -> DataFrame:
-    """The lines each customer bought inside the favourite genre."""
-    tables = (orders_of(orders, customer_id), order_details, books, genre)
-    favourite = preferred_genre(customer_frequent_genre(*tables))
+    """The lines each customer bought inside the favourite genre.
+
+    Titles join last: the favourite genre has cut the lines by then.
+    """
+    lines = (
+        sales_lines(orders_of(orders, customer_id), order_details)
+        .join(books.select("book_id", "genre_id"), "book_id")
+        .join(genre, "genre_id")
+        .select("customer_id", "book_id", "genre_title")
+    )
     return (
-        customer_book_details(*tables)
-        .join(favourite, ["customer_id", "genre_title"])
+        lines.join(preferred_genre(most_frequent_genre(lines)), ["customer_id", "genre_title"])
+        .join(books.select("book_id", "title"), "book_id")
         .select("customer_id", "book_id", "title", "genre_title")
     )
 
@@ -73,8 +80,7 @@ def recommend_books(
     """Best sellers of the favourite genre that the customer does not own yet.
 
     One pass over the sales lines counts the purchases per customer and genre, with each best seller
-    counted apart. The counts give both the favourite genre and the best sellers owned in it, and
-    the two uses read the same shuffle.
+    counted apart. The counts give both the favourite genre and the best sellers owned in it.
 
     ``best_sellers`` takes a stored result of ``best_sellers_by_genre``. Its file size is known
     before the job starts, so a small one is broadcast to the lines; computed here, its size is
@@ -93,21 +99,31 @@ def recommend_books(
         .groupBy("customer_id", "genre_title", "owned_book_id")
         .agg(F.count("*").alias("lines"))
     )
+    # A customer has one row per genre and owned best seller, so sending the rows to the customer is
+    # safe, and it serves both windows.
     in_genre = Window.partitionBy("customer_id", "genre_title")
     by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"), "genre_title")
     favourite = (
-        counts.withColumn("genre_count", F.sum("lines").over(in_genre))
-        .withColumn("rnk", F.rank().over(by_count))
+        counts.repartition("customer_id")
+        .withColumn("genre_count", F.sum("lines").over(in_genre))
+        .withColumns({"rnk": F.rank().over(by_count), "place": F.row_number().over(by_count)})
         .filter(F.col("rnk") == 1)
+        .alias("favourite")
     )
-    owned = favourite.filter(F.col("owned_book_id").isNotNull()).select(
-        "customer_id", F.col("owned_book_id").alias("book_id")
-    )
+    # The first row of a customer brings the offers, every row a book owned, if it has one. A book
+    # offered and not owned is recommended.
+    offer = best.select("genre_title", "book_id").alias("offer")
+    same_genre = F.col("offer.genre_title") == F.col("favourite.genre_title")
+    offered = F.struct("offer.book_id", F.lit(False).alias("owned"))
+    owned = F.struct(F.col("owned_book_id").alias("book_id"), F.lit(True).alias("owned"))
     recommended = (
-        favourite.select("customer_id", "genre_title")
-        .distinct()
-        .join(best, "genre_title")
-        .join(owned, ["customer_id", "book_id"], "left_anti")
+        favourite.join(offer, same_genre & (F.col("place") == 1), "left")
+        .select("customer_id", F.inline(F.array(offered, owned)))
+        .filter(F.col("book_id").isNotNull())
+        .groupBy("customer_id", "book_id")
+        .agg(F.bool_or("owned").alias("owned"))
+        .filter(~F.col("owned"))
+        .join(best, "book_id")
         .select("customer_id", "genre_title", "title", "book_id", "total_book_sales")
     )
     if customer_id is None:

@@ -65,15 +65,20 @@ def customer_frequent_genre(
     genre: DataFrame,
     customer_id: int | None = None,
 ) -> DataFrame:
-    """Genres bought most often by each customer, counted in lines; ties are kept.
+    """Genres bought most often by each customer, counted in lines; ties are kept."""
+    return most_frequent_genre(
+        customer_book_details(orders, order_details, books, genre, customer_id)
+    )
+
+
+def most_frequent_genre(purchases: DataFrame) -> DataFrame:
+    """``customer_frequent_genre`` from lines that carry ``customer_id`` and ``genre_title``.
 
     The window runs on counted rows, so its groups hold at most one row per genre title however
     many lines a customer has.
     """
-    counts = (
-        customer_book_details(orders, order_details, books, genre, customer_id)
-        .groupBy("customer_id", "genre_title")
-        .agg(F.count("*").alias("genre_count"))
+    counts = purchases.groupBy("customer_id", "genre_title").agg(
+        F.count("*").alias("genre_count")
     )
     by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"))
     return (

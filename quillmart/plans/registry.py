@@ -21,6 +21,7 @@ from quillmart.operators import (
     reviews,
     sales,
 )
+from quillmart.sources.sinks import store_small
 from quillmart.sources.synthetic import SyntheticStar
 
 AS_OF = dt.date(2001, 8, 1)
@@ -39,6 +40,10 @@ def _favourite(t: SyntheticStar) -> DataFrame:
     return recommend.preferred_genre(relations.customer_frequent_genre(*_purchases(t)))
 
 
+def _stored_best_sellers(t: SyntheticStar) -> DataFrame:
+    return store_small(relations.best_sellers_by_genre(t.order_details, t.books, t.genre))
+
+
 OPERATORS: dict[str, Callable[[SyntheticStar], DataFrame]] = {
     # derived relations
     "customer_book_details": lambda t: relations.customer_book_details(*_purchases(t)),
@@ -58,7 +63,9 @@ OPERATORS: dict[str, Callable[[SyntheticStar], DataFrame]] = {
     "preferred_genre_best_sellers": lambda t: recommend.preferred_genre_best_sellers(
         *_purchases(t)
     ),
-    "recommend_books": lambda t: recommend.recommend_books(*_purchases(t)),
+    "recommend_books": lambda t: recommend.recommend_books(
+        *_purchases(t), best_sellers=_stored_best_sellers(t)
+    ),
     # customers
     "churn_risk": lambda t: customers.churn_risk(t.orders, CHURN_DAYS, AS_OF),
     "recency": lambda t: customers.recency(t.orders, AS_OF),

@@ -1,8 +1,10 @@
-"""Writers for results and for a layout that saves the fact join its shuffle."""
+"""Writers for results, for intermediate tables and for a layout that saves the fact join its shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_result(
@@ -39,3 +41,23 @@ def write_bucketed(
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all machines of the cluster share, as the session names it."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def store_small(df: DataFrame) -> DataFrame:
+    """A small result that a later plan uses, written to the shared folder and read back.
+
+    The files tell the planner its true size before the job starts, and losing executors does not
+    cost its computation. Without a shared folder the result stays a plan. The tables are left in
+    the folder for its owner to clear.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/quillmart-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from conftest import purchases, rows
 
 from quillmart.operators import recommend, relations
@@ -139,3 +143,44 @@ def test_look_up_of_a_customer_with_many_orders_is_not_broadcast(shop, monkeypat
         for df in (few, many)
     ]
     assert hinted == [True, False]
+
+
+def _expected(orders, lines, books, genre):
+    """Recommendations worked out in plain Python."""
+    customer_of = {o[0]: o[1] for o in orders}
+    genre_titles = dict(genre)
+    genre_of = {b[0]: genre_titles[b[2]] for b in books}
+    title_of = {b[0]: b[1] for b in books}
+    sold, bought = Counter(), Counter()
+    for order, book, quantity, _ in lines:
+        sold[book] += quantity
+        bought[customer_of[order], genre_of[book]] += 1
+    highest = {}
+    for book, copies in sold.items():
+        highest[genre_of[book]] = max(copies, highest.get(genre_of[book], 0))
+    owned = {(customer_of[order], book) for order, book, _, _ in lines}
+    result = []
+    for customer in {c for c, _ in bought}:
+        favourite = min((-n, g) for (c, g), n in bought.items() if c == customer)[1]
+        result += [
+            (customer, favourite, title_of[book], book, copies)
+            for book, copies in sold.items()
+            if genre_of[book] == favourite
+            and copies == highest[favourite]
+            and (customer, book) not in owned
+        ]
+    return sorted(result)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_recommendations_equal_plain_python(make, seed):
+    """Few books and small quantities, so that genres, best sellers and ownership tie often."""
+    pick = random.Random(seed)
+    genre = [(1, "A"), (2, "B"), (3, "C")]
+    books = [(b, f"title {b % 4}", pick.randint(1, 3), 1) for b in range(12)]
+    orders = [(o, pick.randint(1, 15), None, None) for o in range(40)]
+    lines = [(pick.randrange(40), pick.randrange(12), pick.randint(1, 2), 0) for _ in range(90)]
+    got = recommend.recommend_books(
+        make.orders(orders), make.order_details(lines), make.books(books), make.genre(genre)
+    )
+    assert sorted(rows(got)) == _expected(orders, lines, books, genre)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmart import schemas
 from quillmart.operators import customers, recommend, relations, reviews, sales
+from quillmart.plans.session import PARTITION_BYTES, cluster_settings
 from quillmart.sources import StarTables, load_star
 
 LINES = 300_000
@@ -260,3 +261,11 @@ def test_top_books_fetch_titles_for_the_chosen_only(skewed, conf):
         plan = _plan(df)
         assert plan.count("TakeOrderedAndProject") >= 2
         assert "title:string" in plan
+
+
+def test_shuffle_partitions_follow_the_largest_shuffle():
+    small = cluster_settings(cores=100, largest_shuffle_bytes=10**9)
+    large = cluster_settings(cores=4000, largest_shuffle_bytes=20_000 * PARTITION_BYTES + 1)
+    assert small["spark.sql.shuffle.partitions"] == "300"
+    assert large["spark.sql.shuffle.partitions"] == "20001"
+    assert large["spark.sql.adaptive.skewJoin.enabled"] == "true"

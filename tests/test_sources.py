@@ -6,14 +6,14 @@ from pyspark.errors import PySparkException
 from quillmart import schemas
 from quillmart.operators import dimensions, sales
 from quillmart.plans.views import derived_relations, register_views
-from quillmart.sources import MissingColumnsError, conform, load_star
+from quillmart.sources import MissingColumnsError, conform, load_star, sinks
 from quillmart.sources.csv_files import (
     read_genre_sizes,
     read_order_details,
     read_states,
     read_sub_genres,
 )
-from quillmart.sources.sinks import write_bucketed, write_result
+from quillmart.sources.sinks import store_small, write_bucketed, write_result
 from quillmart.sources.star import conform_table, load_star_catalog, load_star_jdbc
 
 
@@ -170,3 +170,15 @@ def test_bucketed_facts_join_without_a_shuffle(spark, shop, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE shop_db CASCADE")
+
+
+def test_small_results_are_stored_only_where_a_shared_folder_is_named(
+    spark, shop, tmp_path, monkeypatch
+):
+    monkeypatch.setattr(sinks, "shared_folder", lambda session: None)
+    assert store_small(shop.genre) is shop.genre
+    monkeypatch.setattr(sinks, "shared_folder", lambda session: f"{tmp_path}/")
+    stored = store_small(shop.genre)
+    assert sorted(rows(stored)) == sorted(rows(shop.genre))
+    assert stored.schema == shop.genre.schema
+    assert [p.name.startswith("quillmart-") for p in tmp_path.iterdir()] == [True]
