@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def write_result(
     df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists"
 ) -> None:
-    """Write a result as Parquet, optionally in one folder per value of ``partition_by``."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Write a result as Parquet, optionally in one folder per value of ``partition_by``.
+
+    Rows of a folder are brought together first, which keeps the number of files low; AQE splits a
+    folder that is much larger than the others over several tasks.
+    """
+    grouped = df.hint("rebalance", *partition_by) if partition_by else df
+    grouped.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_bucketed(

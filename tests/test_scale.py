@@ -14,6 +14,7 @@ from quillmart import schemas
 from quillmart.operators import customers, recommend, relations, reviews, sales
 from quillmart.plans.session import PARTITION_BYTES, cluster_settings
 from quillmart.sources import StarTables, load_star
+from quillmart.sources.sinks import write_result
 
 LINES = 300_000
 ORDERS = 30_000
@@ -269,3 +270,14 @@ def test_shuffle_partitions_follow_the_largest_shuffle():
     assert small["spark.sql.shuffle.partitions"] == "300"
     assert large["spark.sql.shuffle.partitions"] == "20001"
     assert large["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_a_large_folder_is_written_by_several_tasks(skewed, conf, spark, tmp_path):
+    conf({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB"})
+    few = skewed.books.filter("genre_id < 3").coalesce(2)
+    many = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    path = tmp_path / "books"
+    write_result(many, str(path), partition_by=("genre_id",))
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.glob("genre_id=*")}
+    assert files["genre_id=0"] > 1
+    assert spark.read.parquet(str(path)).count() == many.count()
