@@ -1,8 +1,9 @@
 """Times every registered query and prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables (default /root/testdata/sf0.1), ``BENCH_CPUS`` the local cores
-(default 8). Each query runs once to warm up and then ``BENCH_RUNS`` times (default 3); its figure is
-the median of those runs from building the plan to the last row, all rows computed and discarded.
+(default 8). All queries run once to warm up, then ``BENCH_RUNS`` times in turn (default 3). The figure
+of a query is the median of those runs, from building the plan to the last row, with all rows computed
+and discarded.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ def main() -> None:
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    medians = {}
-    for name, query in queries().items():
+    for query in queries().values():
         seconds(query)
-        medians[name] = round(statistics.median(seconds(query) for _ in range(runs)), 3)
+    times = {name: [] for name in queries()}
+    for _ in range(runs):
+        for name, query in queries().items():
+            times[name].append(seconds(query))
+    medians = {name: round(statistics.median(t), 3) for name, t in times.items()}
     spark.stop()
     print(
         json.dumps(

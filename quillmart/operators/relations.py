@@ -158,6 +158,15 @@ def reviews_per_book(reviews: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
+def known_books(rows: DataFrame, books: DataFrame) -> DataFrame:
+    """Rows whose book is in the catalogue.
+
+    An inner join on the key: a semi join would be pushed through the aggregation that made the
+    rows, down to the lines.
+    """
+    return rows.join(books.select("book_id"), "book_id")
+
+
 def mean_amount() -> Column:
     """Mean of the non-NULL order amounts of a group; NULL when there is none."""
     return F.try_divide(F.sum("total_amount").cast("double"), F.count("total_amount"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import in_year
 from quillmart.operators.relations import (
+    known_books,
     review_sentiment,
     review_totals,
     with_names,
@@ -35,12 +36,7 @@ def top_reviewed_books(reviews: DataFrame, books: DataFrame, n: int = 10) -> Dat
     Titles are fetched for the chosen books only.
     """
     order = (F.desc("total_reviews"), F.asc("book_id"))
-    chosen = (
-        review_totals(reviews)
-        .join(books.select("book_id"), "book_id", "left_semi")
-        .orderBy(*order)
-        .limit(n)
-    )
+    chosen = known_books(review_totals(reviews), books).orderBy(*order).limit(n)
     return (
         chosen.join(books.select("book_id", "title"), "book_id")
         .orderBy(*order)

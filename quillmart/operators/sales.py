@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions import in_year, percent_change, short_title
-from quillmart.operators.relations import book_sales, sales_lines
+from quillmart.operators.relations import book_sales, known_books, sales_lines
 
 
 def genre_sales_by_year(
@@ -63,9 +63,7 @@ def top_bottom_books(
     Two opposite top-n selections over one total order overlap exactly when there are fewer than 2n
     books, and together they then hold every book. Titles are fetched for the chosen books only.
     """
-    sales = _year_sales(orders, order_details, year).join(
-        books.select("book_id"), "book_id", "left_semi"
-    )
+    sales = known_books(_year_sales(orders, order_details, year), books)
     top = sales.orderBy(F.desc("total_book_sales"), F.asc("book_id")).limit(n)
     bottom = sales.orderBy(F.asc("total_book_sales"), F.desc("book_id")).limit(n)
     chosen = top.unionByName(bottom).distinct()
@@ -126,16 +124,14 @@ def declining_sales(
     )
     previous = F.lag("monthly_sales").over(Window.partitionBy("book_id").orderBy("month"))
     order = (F.asc("sales_change"), F.asc("book_id"), F.asc("month"))
-    steepest = (
+    declines = (
         monthly.withColumn("prev_month_sales", previous)
         .withColumn(
             "sales_change", percent_change(F.col("monthly_sales"), F.col("prev_month_sales"))
         )
         .filter(F.col("sales_change") < threshold)
-        .join(books.select("book_id"), "book_id", "left_semi")
-        .orderBy(*order)
-        .limit(n)
     )
+    steepest = known_books(declines, books).orderBy(*order).limit(n)
     return (
         steepest.join(books.select("book_id", "title"), "book_id")
         .select(

@@ -34,22 +34,26 @@ def conform(
     optional: tuple[str, ...] = (),
     keep_extra: bool = False,
 ) -> DataFrame:
-    """Check that the columns of ``schema`` exist and cast them to its types.
+    """Check that the columns of ``schema`` exist, in any case, and cast them to its types.
 
     Columns in ``optional`` may be missing and stay missing. Other columns are dropped unless
     ``keep_extra`` is set. Only the plan is touched: a scan still reads just the columns used.
     """
-    missing = [f.name for f in schema if f.name not in df.columns and f.name not in optional]
+    found = {c.lower(): c for c in df.columns}
+    missing = [f.name for f in schema if f.name not in found and f.name not in optional]
     if missing:
         raise MissingColumnsError(f"missing columns {missing}; found {df.columns}")
+    fits = {f.name: df.schema[f.name].dataType == f.dataType for f in schema if f.name in df.columns}
+    # A column that fits is taken as it is: an alias around it would tell two uses of the table
+    # apart in a union and keep them from sharing a shuffle.
     wanted = [
         F.col(f.name)
-        if df.schema[f.name].dataType == f.dataType
-        else F.col(f.name).cast(f.dataType).alias(f.name)
+        if fits.get(f.name)
+        else F.col(found[f.name]).cast(f.dataType).alias(f.name)
         for f in schema
-        if f.name in df.columns
+        if f.name in found
     ]
-    extra = [F.col(c) for c in df.columns if keep_extra and c not in schema.names]
+    extra = [F.col(c) for c in df.columns if keep_extra and c.lower() not in schema.names]
     return df.select(*wanted, *extra)
 
 

@@ -252,6 +252,22 @@ def test_stored_best_sellers_are_broadcast_to_the_lines(spark, skewed, tmp_path)
     assert "BroadcastHashJoin" in to_lines
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10MB", "50KB"])
+def test_both_ends_of_a_ranking_read_one_shuffle_of_lines(skewed, conf, threshold):
+    conf({"spark.sql.autoBroadcastJoinThreshold": threshold})
+    plan = _final_plan(sales.top_bottom_books(*_purchases(skewed)[:3], year=1998))
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert sum("quantity" in s for s in scans) == 1
+    assert sum("order_date" in s for s in scans) == 1
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB", "50KB"])
+def test_best_sellers_read_one_shuffle_of_lines(skewed, conf, threshold):
+    conf({"spark.sql.autoBroadcastJoinThreshold": threshold})
+    plan = _final_plan(relations.best_sellers_by_genre(*_purchases(skewed)[1:]))
+    assert sum("FileScan" in line and "quantity" in line for line in plan.split("\n")) == 1
+
+
 def test_top_books_fetch_titles_for_the_chosen_only(skewed, conf):
     conf({"spark.sql.autoBroadcastJoinThreshold": "100KB"})
     for df in (

@@ -77,7 +77,7 @@ def test_wrong_files_are_refused(spark, tmp_path, text):
 
 
 def test_conform_casts_orders_and_drops(spark):
-    df = spark.createDataFrame([("x", "5", 1)], "genre_title STRING, genre_id STRING, more INT")
+    df = spark.createDataFrame([("x", "5", 1)], "Genre_Title STRING, genre_id STRING, more INT")
     assert conform(df, schemas.GENRE).schema == schemas.GENRE
     assert rows(conform(df, schemas.GENRE, keep_extra=True)) == [(5, "x", 1)]
 
