@@ -11,11 +11,11 @@ columns are carried unless an output has their name, which then replaces them.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -34,9 +34,8 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-@functools.lru_cache(maxsize=4)
 def encoding(ranks: bytes, pattern: str):
-    """The tokenizer; kept in a worker between batches."""
+    """The tokenizer, built once per task."""
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
@@ -71,9 +70,7 @@ def encode(text: Column | str, ranks: bytes, pattern: str) -> Column:
     """Token ids of a text, ``array<int>``."""
 
     @pandas_udf("array<int>")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(ranks, pattern)
         for texts in batches:
             yield pd.Series([ids_of(t, enc) for t in texts], dtype=object)
@@ -85,9 +82,7 @@ def decode(ids: Column | str, ranks: bytes, pattern: str) -> Column:
     """Raw bytes of token ids; they need not be valid UTF-8."""
 
     @pandas_udf("binary")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(ranks, pattern)
         for lists in batches:
             yield pd.Series(
