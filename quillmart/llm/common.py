@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts add up to about ``most`` bytes, at least one row each."""
+    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    run = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.diff(run, prepend=-1)) if len(run) else np.zeros(0, np.int64)
+    for start, end in zip(starts, [*starts[1:], len(run)], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from every node: columns ``node`` and ``component``.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmart.llm import byte_bpe
+from quillmart.llm import byte_bpe, language_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,12 +25,19 @@ def vocabulary() -> tuple[bytes, str]:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_byte_bpe,)}
+    return {f.__name__: f for f in (op3_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
