@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+from quillmart.llm.common import quoted, slices
 
 #: Texts longer than this many characters are split before they reach the tokenizer.
 LONG_TEXT = 1 << 15
@@ -66,50 +68,64 @@ def ids_of(text: str | None, enc, longest: int = LONG_TEXT) -> np.ndarray:
     return np.concatenate(parts).astype(np.int32)
 
 
-def encode(text: Column | str, ranks: bytes, pattern: str) -> Column:
-    """Token ids of a text, ``array<int>``."""
+def encode_documents(
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    decoded_col: str = "decoded",
+) -> DataFrame:
+    """``docs`` with the ids of every whole text, ``array<int>``, and the bytes they decode to.
+
+    A task holds the ids of about a megabyte of text at a time.
+    """
+    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    rows = docs.select(*map(quoted, kept), quoted(text_col).alias("\0text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField(ids_col, ArrayType(IntegerType())), StructField(decoded_col, BinaryType())])
 
-    @pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
-        for texts in batches:
-            yield pd.Series([ids_of(t, enc) for t in texts], dtype=object)
+        for batch in batches:
+            for part in slices(batch, len(kept)):
+                ids = [ids_of(t, enc) for t in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], id_lists(ids), pa.array([decoded(x, enc) for x in ids], pa.binary())],
+                    names=[*kept, ids_col, decoded_col],
+                )
 
-    return run(text)
+    return rows.mapInArrow(run, schema)
 
 
-def decode(ids: Column | str, ranks: bytes, pattern: str) -> Column:
-    """Raw bytes of token ids; they need not be valid UTF-8."""
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
 
-    @pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(ranks, pattern)
-        for lists in batches:
-            yield pd.Series(
-                [b"" if x is None else enc.decode_bytes(np.asarray(x, np.int64).tolist()) for x in lists],
-                dtype=object,
-            )
 
-    return run(ids)
+def decoded(ids: np.ndarray, enc) -> bytes:
+    return enc.decode_bytes(ids.tolist())
 
 
-def encode_documents(
-    docs: DataFrame,
-    ranks: bytes,
-    pattern: str,
-    text_col: str = "text",
-    ids_col: str = "ids",
-    decoded_col: str = "decoded",
+def decode_documents(
+    coded: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded"
 ) -> DataFrame:
-    """``docs`` with the ids of every whole text and the bytes they decode to."""
-    return docs.withColumn(ids_col, encode(F.col(text_col), ranks, pattern)).withColumn(
-        decoded_col, decode(F.col(ids_col), ranks, pattern)
-    )
+    """``coded`` with the raw bytes of its ids; they need not be valid UTF-8."""
+    kept = [c for c in coded.columns if c != decoded_col]
+    rows = coded.select(*map(quoted, kept), quoted(ids_col).alias("\0ids"))
+    schema = StructType([*rows.schema.fields[:-1], StructField(decoded_col, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks, pattern)
+        for batch in batches:
+            out = [decoded(np.array(x or [], np.int64), enc) for x in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*kept, decoded_col])
+
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of ids, digest of the ids and digest of the decoded bytes."""
-    coded = encode_documents(docs.select(id_col, text_col), ranks, pattern, text_col)
+    coded = encode_documents(docs.select(id_col, quoted(text_col).alias("text")), ranks, pattern)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         id_col,
