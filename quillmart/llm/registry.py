@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmart.llm import byte_bpe, language_id
+from quillmart.llm import byte_bpe, language_id, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +32,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.summary(pii.detect(docs, pii.fit(docs)))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_language_id, op7_pii, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
