@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe, language_id, pii
+from quillmart.llm import byte_bpe, language_id, pii, projected_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,10 @@ def vocabulary() -> tuple[bytes, str]:
     )
 
 
+def op1_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.held_out("doc_id", 4, 2)
@@ -42,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_language_id, op7_pii, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op7_pii, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
