@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe, language_id, pii, projected_search
+from quillmart.llm import byte_bpe, language_id, multi_index, pii, projected_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.detect(docs, pii.fit(docs)))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op7_pii, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op7_pii, op8_multi_index, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
