@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe, language_id, multi_index, pii, projected_search
+from quillmart.llm import byte_bpe, language_id, multi_index, pii, projected_search, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.held_out("id", 5, 0)
+    scored = quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out
+    )
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.summary(pii.detect(docs, pii.fit(docs)))
@@ -51,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op7_pii, op8_multi_index, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op4_quality, op7_pii, op8_multi_index, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
