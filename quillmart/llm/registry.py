@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe, language_id, multi_index, pii, projected_search, quality
+from quillmart.llm import byte_bpe, language_id, line_dedup, multi_index, pii, projected_search, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +59,23 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.kept_lines(docs)
+    return kept.select(
+        F.col("row.c0").alias("doc_id"),
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.char_length("kept_text").cast("long").alias("kept_chars"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op4_quality, op7_pii, op8_multi_index, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op4_quality, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
