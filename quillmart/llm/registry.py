@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe, language_id, line_dedup, multi_index, pii, projected_search, quality
+from quillmart.llm import (
+    byte_bpe,
+    language_id,
+    line_dedup,
+    multi_index,
+    order_minhash,
+    pii,
+    projected_search,
+    quality,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +39,11 @@ def op1_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.held_out("doc_id", 4, 2)
@@ -75,7 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op3_language_id, op4_quality, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
