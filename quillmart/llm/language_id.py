@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.llm import grams
-from quillmart.llm.common import slices
+from quillmart.llm.common import slices, stored
 
 UNKNOWN = "und"
 
@@ -161,8 +161,14 @@ def fit(
     if not n:
         return None
     idf = 10 * np.log((1 + n) / (1 + df))
-    order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("language"))
-    sample = rows.select("text", "label", order.alias("at")).orderBy("at", "label", "text").limit(s.sample_rows)
+    order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
+    # The texts of the rows with the smallest hashes: the hashes are cut off first, without the texts.
+    first = rows.select(order.alias("at")).orderBy("at").limit(s.sample_rows)
+    last = first.agg(F.max("at")).first()[0]
+    sample = stored(
+        rows.withColumn("at", order).filter(F.col("at") <= last).select("text", "label", "at")
+        .orderBy("at", "label").limit(s.sample_rows), "sample",
+    )
     labels = tuple(sorted(r["label"] for r in sample.select("label").distinct().collect()))
     # A tenth of the sample is kept for the temperature.
     parts = sample.withColumn("shard", F.pmod("at", F.lit(10))).withColumn(
