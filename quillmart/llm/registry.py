@@ -11,6 +11,7 @@ from quillmart.llm import (
     byte_bpe,
     language_id,
     line_dedup,
+    mixing,
     multi_index,
     order_minhash,
     pii,
@@ -64,6 +65,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Domains of the labels table, and their shares of the tokens.
+TARGETS = {"clean": 0.88, "low": 0.08, "toxic": 0.04}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """``id`` and ``domain`` of every labelled document."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select(F.col("doc_id").alias("id"), domain.alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        *(F.col("posteriors")[j].alias(f"p_{d}") for j, d in enumerate(sorted(TARGETS))),
+        "rate",
+        "copies",
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.summary(pii.detect(docs, pii.fit(docs)))
@@ -89,7 +111,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op5_mixing, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
