@@ -1,8 +1,8 @@
 """Mixing a corpus to target weights of domains that documents belong to softly.
 
 Built of DataFrame functions alone. Naive Bayes over hashed words that tell domains apart, learned from a bounded sample of a labelled
-table, predicts how far each document belongs to each domain; its sharpness is fitted on labelled documents
-kept out of the counts. Every document then gets a rate between 0 and ``most``: how often it is to be taken. The
+table, predicts how far each document belongs to each domain; the sharpness of each domain's evidence is fitted on
+labelled documents kept out of the counts. Every document then gets a rate between 0 and ``most``: how often it is to be taken. The
 rates are found by projected gradient descent on the squared gaps between the tokens expected of each domain and
 its target, in shares of all tokens, with a small pull towards a rate of 1. A document's slope is the sum of the
 gaps weighted by its posteriors; the gaps are scaled by their curvature over the rates that are not at a bound, and
@@ -39,6 +39,7 @@ class Settings:
     smoothing: float = 1.0
     deviations: float = 8.0  # from which on a bucket tells a domain apart
     grid: int = 128  # steps of a posterior
+    sweeps: int = 2  # over the domains
     pull: float = 1e-3
     steps: int = 40
     tolerance: float = 1e-5  # of all tokens
@@ -82,8 +83,7 @@ def mix(
     known = _sample(labelled, domains, s)
     evidence = stored(_evidence(texts, _weights(texts, known, domains, s), len(domains), s), "evidence")
     prior, sharp = _calibrated(evidence, known, domains, s)
-    logits = [F.lit(math.log(prior[j])) + sharp * F.col("sums")[j] for j in range(len(domains))]
-    members = evidence.select("id", "same", "copies_in", "n_tokens", _softmax(logits).alias("posteriors"))
+    members = evidence.select("id", "same", "copies_in", "n_tokens", _posteriors(prior, sharp).alias("posteriors"))
     cell = F.transform("posteriors", lambda p: F.round(p * s.grid).cast("int"))
     with_cell = members.withColumn("cell", cell)
     rates = _rates(with_cell, weight, total_tokens, most, s)
@@ -167,19 +167,30 @@ def _softmax(logits: list[Column]) -> Column:
     return F.array(*(p / total for p in powers))
 
 
-def _calibrated(evidence: DataFrame, known: DataFrame, domains: list[str], s: Settings) -> tuple[list[float], float]:
-    """Shares of the domains in the sample, and the sharpness under which its kept part is likeliest."""
+def _calibrated(evidence: DataFrame, known: DataFrame, domains: list[str], s: Settings) -> tuple[list[float], list[float]]:
+    """Shares of the domains in the sample, and for each domain the sharpness of its evidence.
+
+    One domain after the other takes the sharpness under which the kept part of the sample is likeliest.
+    """
     n = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     prior = [(n.get(d, 0) + 1) / (sum(n.values()) + len(domains)) for d in domains]
-    tried = []
-    for i, sharp in enumerate(s.sharpness):
-        logits = [F.lit(math.log(prior[j])) + sharp * F.col("sums")[j] for j in range(len(domains))]
-        own = F.element_at(_softmax(logits), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int"))
-        tried.append(F.sum(F.log(F.greatest(own, F.lit(1e-9)))).alias(f"t{i}"))
-    kept = evidence.join(F.broadcast(known.filter("kept").select("id", "domain")), "id")
-    found = kept.agg(*tried).first()
-    best = max(range(len(tried)), key=lambda i: -math.inf if found[i] is None else found[i])
-    return prior, float(s.sharpness[best])
+    kept = stored(evidence.join(F.broadcast(known.filter("kept").select("id", "domain")), "id"), "kept")
+    place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
+    sharp = [0.5] * len(domains)
+    for _ in range(s.sweeps):
+        for j in range(len(domains)):
+            tried = []
+            for x in s.sharpness:
+                own = F.element_at(_posteriors(prior, [*sharp[:j], x, *sharp[j + 1 :]]), place)
+                tried.append(F.sum(F.log(F.greatest(own, F.lit(1e-9)))))
+            found = kept.agg(*(t.alias(f"t{i}") for i, t in enumerate(tried))).first()
+            best = max(range(len(tried)), key=lambda i: -math.inf if found[i] is None else found[i])
+            sharp[j] = float(s.sharpness[best])
+    return prior, sharp
+
+
+def _posteriors(prior: list[float], sharp: list[float]) -> Column:
+    return _softmax([math.log(p) + x * F.col("sums")[j] for j, (p, x) in enumerate(zip(prior, sharp, strict=True))])
 
 
 def _rates(members: DataFrame, weight: list[float], total: float | None, most: float | None, s: Settings) -> DataFrame:
