@@ -17,6 +17,7 @@ from quillmart.llm import (
     pii,
     projected_search,
     quality,
+    suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    lengths = F.zip_with("high", "low", lambda high, low: high - low)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("low").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.summary(pii.detect(docs, pii.fit(docs)))
@@ -111,7 +124,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op5_mixing, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op5_mixing, op6_suffix_dedup, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
