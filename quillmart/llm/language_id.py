@@ -233,6 +233,24 @@ def predict(
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def accepted(
+    docs: DataFrame, model: LanguageModel | None, min_score: float, text_col: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` whose language is told with at least this score; texts without a letter go."""
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for batch in batches for part in slices(batch, at)):
+            texts = batch.column(at).to_pylist()
+            told = [i for i, t in enumerate(texts) if model and grams.has_letter(t)]
+            if told:
+                score = model.probabilities([texts[i] for i in told]).max(1)
+                yield batch.take(pa.array([i for i, x in zip(told, score, strict=True) if x >= min_score], pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether a row is of the fold that is not learned from; so is one without an id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillmart.llm import (
     byte_bpe,
     language_id,
@@ -19,24 +20,11 @@ from quillmart.llm import (
     quality,
     suffix_dedup,
 )
+from quillmart.llm.production import TARGETS, domains, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vocabulary() -> tuple[bytes, str]:
-    """Ranks and pattern of the vocabulary the queries use."""
-    import public_tokenizers
-
-    return (
-        byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
-        public_tokenizers.PATTERN,
-    )
-
-
 def op1_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
@@ -66,16 +54,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Domains of the labels table, and their shares of the tokens.
-TARGETS = {"clean": 0.88, "low": 0.08, "toxic": 0.04}
-
-
-def domains(labels: DataFrame) -> DataFrame:
-    """``id`` and ``domain`` of every labelled document."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
-    return labels.select(F.col("doc_id").alias("id"), domain.alias("domain"))
-
-
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
     return mixed.select(
@@ -124,7 +102,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_projected_search, op2_order_minhash, op3_language_id, op4_quality, op5_mixing, op6_suffix_dedup, op7_pii, op8_multi_index, op9_line_dedup, op10_byte_bpe)}
+    operators = (
+        op1_projected_search,
+        op2_order_minhash,
+        op3_language_id,
+        op4_quality,
+        op5_mixing,
+        op6_suffix_dedup,
+        op7_pii,
+        op8_multi_index,
+        op9_line_dedup,
+        op10_byte_bpe,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
