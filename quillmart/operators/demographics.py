@@ -13,15 +13,18 @@ def customer_scan(customer: DataFrame) -> DataFrame:
     return customer
 
 
-def gender_distribution(customer: DataFrame) -> DataFrame:
+def gender_distribution(customer: DataFrame, ordered: bool = True) -> DataFrame:
     """Male, Female and Others with their share of all customers in percent."""
-    return _shares(customer.select(gender_group(F.col("gender")).alias("gender_grouped")))
+    return _shares(
+        customer.select(gender_group(F.col("gender")).alias("gender_grouped")), ordered
+    )
 
 
-def language_share(customer: DataFrame) -> DataFrame:
+def language_share(customer: DataFrame, ordered: bool = True) -> DataFrame:
     """Customers per preferred language with their share of those who state one, in percent."""
     return _shares(
-        customer.select("preferred_language").filter(F.col("preferred_language").isNotNull())
+        customer.select("preferred_language").filter(F.col("preferred_language").isNotNull()),
+        ordered,
     )
 
 
@@ -38,7 +41,7 @@ def demographics(customer: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _shares(values: DataFrame) -> DataFrame:
+def _shares(values: DataFrame, ordered: bool) -> DataFrame:
     """Count and percent per value, most frequent first.
 
     The grand total is a scalar subquery over the counts, so the counts are never gathered in one
@@ -47,6 +50,5 @@ def _shares(values: DataFrame) -> DataFrame:
     (column,) = values.columns
     counts = values.groupBy(column).agg(F.count("*").alias("customers"))
     total = counts.agg(F.sum("customers")).scalar()
-    return counts.withColumn("percent", F.col("customers") * 100.0 / total).orderBy(
-        F.desc("customers"), column
-    )
+    shares = counts.withColumn("percent", F.col("customers") * 100.0 / total)
+    return shares.orderBy(F.desc("customers"), column) if ordered else shares

@@ -1,6 +1,8 @@
 """Explainable recommendations: favourite genre, its best sellers, minus what the customer owns.
 
-Each operator answers for all customers in one job; ``customer_id`` narrows it to one.
+Each operator answers for all customers in one job; ``customer_id`` narrows it to one. Orders without
+a customer belong to nobody: they have no favourite genre, and no operator here returns a row for
+them.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 from quillmart.operators.relations import (
     best_sellers_by_genre,
     customer_frequent_genre,
+    lines_by_genre,
     most_frequent_genre,
     only_customer,
-    orders_of,
     sales_lines,
 )
 
@@ -22,6 +24,7 @@ def preferred_genre(frequent_genre: DataFrame, customer_id: int | None = None) -
     """One favourite genre per customer; among equally frequent ones the first by title."""
     return (
         only_customer(frequent_genre, customer_id)
+        .filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(F.min("genre_title").alias("genre_title"))
     )
@@ -33,20 +36,22 @@ def purchased_in_preferred_genre(
     books: DataFrame,
     genre: DataFrame,
     customer_id: int | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """The lines each customer bought inside the favourite genre.
 
-    Titles join last: the favourite genre has cut the lines by then.
+    Both uses of the lines read one shuffle by book. The favourite is turned back into genre ids, so
+    that lines meet it by customer and genre id, without a title of their own.
     """
-    lines = (
-        sales_lines(orders_of(orders, customer_id), order_details)
-        .join(books.select("book_id", "genre_id"), "book_id")
-        .join(genre, "genre_id")
-        .select("customer_id", "book_id", "genre_title")
+    bought = sales_lines(orders, order_details, customer_id, broadcast_orders, lines).select(
+        "customer_id", "book_id"
     )
+    frequent = most_frequent_genre(lines_by_genre(bought, books), genre)
+    favourite = preferred_genre(frequent).join(genre, "genre_title")
     return (
-        lines.join(preferred_genre(most_frequent_genre(lines)), ["customer_id", "genre_title"])
-        .join(books.select("book_id", "title"), "book_id")
+        bought.join(books.select("book_id", "genre_id", "title"), "book_id")
+        .join(favourite, ["customer_id", "genre_id"])
         .select("customer_id", "book_id", "title", "genre_title")
     )
 
@@ -58,10 +63,14 @@ def preferred_genre_best_sellers(
     genre: DataFrame,
     customer_id: int | None = None,
     best_sellers: DataFrame | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Best sellers of the favourite genre, owned or not."""
     best = _best_sellers(best_sellers, order_details, books, genre)
-    frequent = customer_frequent_genre(orders, order_details, books, genre, customer_id)
+    frequent = customer_frequent_genre(
+        orders, order_details, books, genre, customer_id, broadcast_orders, lines
+    )
     return (
         preferred_genre(frequent)
         .join(best, "genre_title")
@@ -76,28 +85,30 @@ def recommend_books(
     genre: DataFrame,
     customer_id: int | None = None,
     best_sellers: DataFrame | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Best sellers of the favourite genre that the customer does not own yet.
 
     One pass over the sales lines counts the purchases per customer and genre, with each best seller
     counted apart. The counts give both the favourite genre and the best sellers owned in it.
 
-    ``best_sellers`` takes a stored result of ``best_sellers_by_genre``. Its file size is known
-    before the job starts, so a small one is broadcast to the lines; computed here, its size is
-    known only while the lines are already on their way. For a single customer the rows come best
-    first.
+    Best sellers are marked in the catalogue, by genre and book, so that the lines are joined once by
+    book with a side that has just been shuffled by book as well: AQE can split a hot book only in
+    such a join. ``best_sellers`` takes a stored result of ``best_sellers_by_genre``. For a single
+    customer the rows come best first.
     """
     best = _best_sellers(best_sellers, order_details, books, genre)
+    marks = best.select("genre_id", "book_id", F.col("book_id").alias("owned_book_id"))
+    marked = books.select("book_id", "genre_id").join(marks, ["genre_id", "book_id"], "left")
     counts = (
-        sales_lines(orders_of(orders, customer_id), order_details)
+        sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
         .filter(F.col("customer_id").isNotNull())
-        .join(books.select("book_id", "genre_id"), "book_id")
-        .join(
-            best.select("book_id", F.col("book_id").alias("owned_book_id")), "book_id", "left"
-        )
-        .join(genre, "genre_id")
-        .groupBy("customer_id", "genre_title", "owned_book_id")
+        .select("customer_id", "book_id")
+        .join(marked, "book_id")
+        .groupBy("customer_id", "genre_id", "owned_book_id")
         .agg(F.count("*").alias("lines"))
+        .join(genre, "genre_id")
     )
     # A customer has one row per genre and owned best seller, so sending the rows to the customer is
     # safe, and it serves both windows.

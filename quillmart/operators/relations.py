@@ -5,8 +5,8 @@ publisher and ``customer_id`` in customer are unique. Titles and names are not.
 
 Dimension joins carry no broadcast hint, as dimensions grow with the data. Spark broadcasts a side
 when its file size, or under AQE its measured shuffle size, is below the configured threshold, and
-otherwise runs a sort-merge join whose hot partitions AQE splits. Lines are joined with the tables
-themselves, not with joins of them, so that the file sizes are known when the plan is made.
+otherwise runs a sort-merge join whose hot partitions AQE splits. A genre's title meets the books or
+the counts, never the lines, which would be shuffled by a handful of genres.
 """
 
 from __future__ import annotations
@@ -16,30 +16,29 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import classify_average, classify_rating
 
-# Orders of one customer that are broadcast at most: a few megabytes.
-LOOKUP_ORDERS = 100_000
-
 
 def only_customer(df: DataFrame, customer_id: int | None) -> DataFrame:
     """Rows of one customer, or all rows when no customer is given."""
     return df if customer_id is None else df.filter(F.col("customer_id") == int(customer_id))
 
 
-def orders_of(orders: DataFrame, customer_id: int | None) -> DataFrame:
-    """``only_customer`` for orders that are about to meet their lines.
+def sales_lines(
+    orders: DataFrame,
+    order_details: DataFrame,
+    customer_id: int | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
+) -> DataFrame:
+    """Order lines with the columns of their order: the one fact-to-fact join.
 
-    The orders of one customer are counted, and broadcast only when they are few, which saves a
-    look-up the shuffle of all lines. Of a customer with more orders the lines are shuffled.
+    A look-up of one customer whose orders are known to be few saves the shuffle of all lines with
+    ``broadcast_orders``. ``lines`` takes the stored result of ``sources.sinks.write_sales_lines``,
+    which needs no join.
     """
-    if customer_id is None:
-        return orders
+    if lines is not None:
+        return only_customer(lines, customer_id)
     own = only_customer(orders, customer_id)
-    return F.broadcast(own) if own.count() <= LOOKUP_ORDERS else own
-
-
-def sales_lines(orders: DataFrame, order_details: DataFrame) -> DataFrame:
-    """Order lines with the columns of their order: the one fact-to-fact join."""
-    return order_details.join(orders, "order_id")
+    return order_details.join(F.broadcast(own) if broadcast_orders else own, "order_id")
 
 
 def customer_book_details(
@@ -48,12 +47,15 @@ def customer_book_details(
     books: DataFrame,
     genre: DataFrame,
     customer_id: int | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """One row per purchased line; a book bought twice appears twice."""
+    catalogue = books.select("book_id", "title", "genre_id").join(genre, "genre_id")
     return (
-        sales_lines(orders_of(orders, customer_id), order_details)
-        .join(books.select("book_id", "title", "genre_id"), "book_id")
-        .join(genre, "genre_id")
+        sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
+        .select("customer_id", "book_id")
+        .join(catalogue, "book_id")
         .select("customer_id", "book_id", "title", "genre_title")
     )
 
@@ -64,21 +66,33 @@ def customer_frequent_genre(
     books: DataFrame,
     genre: DataFrame,
     customer_id: int | None = None,
+    broadcast_orders: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Genres bought most often by each customer, counted in lines; ties are kept."""
-    return most_frequent_genre(
-        customer_book_details(orders, order_details, books, genre, customer_id)
+    bought = sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
+    return most_frequent_genre(lines_by_genre(bought, books), genre)
+
+
+def lines_by_genre(lines: DataFrame, books: DataFrame) -> DataFrame:
+    """``customer_id``, ``book_id`` and ``genre_id`` of every line of a known book."""
+    return lines.select("customer_id", "book_id").join(
+        books.select("book_id", "genre_id"), "book_id"
     )
 
 
-def most_frequent_genre(purchases: DataFrame) -> DataFrame:
-    """``customer_frequent_genre`` from lines that carry ``customer_id`` and ``genre_title``.
+def most_frequent_genre(purchases: DataFrame, genre: DataFrame) -> DataFrame:
+    """``customer_frequent_genre`` from lines that carry ``customer_id`` and ``genre_id``.
 
-    The window runs on counted rows, so its groups hold at most one row per genre title however
-    many lines a customer has.
+    Lines are counted by genre id; titles join the counts. Genres may share a title, hence the second
+    sum. The window's groups hold at most one row per title however many lines a customer has.
     """
-    counts = purchases.groupBy("customer_id", "genre_title").agg(
-        F.count("*").alias("genre_count")
+    counts = (
+        purchases.groupBy("customer_id", "genre_id")
+        .agg(F.count("*").alias("lines"))
+        .join(genre, "genre_id")
+        .groupBy("customer_id", "genre_title")
+        .agg(F.sum("lines").alias("genre_count"))
     )
     by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"))
     return (

@@ -2,7 +2,7 @@
 
 Lines are summed per book (and month) right after the order join; titles, genres and publishers meet
 the sums, not the lines. A book with a third of all lines therefore reaches the shuffle as one row
-per map task.
+per map task. ``lines`` takes stored lines, which carry their order (``sources.sinks.write_sales_lines``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import in_year, percent_change, short_title
 from quillmart.operators.relations import book_sales, known_books, sales_lines
+from quillmart.schemas import SALES_YEAR
 
 
 def genre_sales_by_year(
@@ -21,10 +22,11 @@ def genre_sales_by_year(
     genre: DataFrame,
     year: int,
     ordered: bool = True,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Copies sold per genre in one year, most first."""
     sales = (
-        _year_sales(orders, order_details, year)
+        _year_sales(orders, order_details, year, lines)
         .join(books.select("book_id", "genre_id"), "book_id")
         .groupBy("genre_id")
         .agg(F.sum("total_book_sales").alias("total_books_sold"))
@@ -40,10 +42,11 @@ def book_sales_by_year(
     books: DataFrame,
     year: int,
     ordered: bool = True,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Copies sold per book in one year, most first. Books sharing a title stay apart."""
     sales = (
-        _year_sales(orders, order_details, year)
+        _year_sales(orders, order_details, year, lines)
         .join(books.select("book_id", "title"), "book_id")
         .select("book_id", "title", "total_book_sales")
     )
@@ -57,13 +60,14 @@ def top_bottom_books(
     year: int,
     n: int = 10,
     title_width: int = 35,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """First and last ``n`` books of the year's ranking, best first; all of them when fewer than 2n.
 
     Two opposite top-n selections over one total order overlap exactly when there are fewer than 2n
     books, and together they then hold every book. Titles are fetched for the chosen books only.
     """
-    sales = known_books(_year_sales(orders, order_details, year), books)
+    sales = known_books(_year_sales(orders, order_details, year, lines), books)
     top = sales.orderBy(F.desc("total_book_sales"), F.asc("book_id")).limit(n)
     bottom = sales.orderBy(F.asc("total_book_sales"), F.desc("book_id")).limit(n)
     chosen = top.unionByName(bottom).distinct()
@@ -111,6 +115,7 @@ def declining_sales(
     books: DataFrame,
     threshold: float = -10,
     n: int = 10,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """The ``n`` steepest month-over-month falls of a book's sales beyond ``threshold`` percent.
 
@@ -118,7 +123,7 @@ def declining_sales(
     exist. The window runs on one row per book and month, so the calendar bounds its groups.
     """
     monthly = (
-        sales_lines(orders, order_details)
+        sales_lines(orders, order_details, lines=lines)
         .groupBy("book_id", F.trunc("order_date", "month").alias("month"))
         .agg(F.sum("quantity").alias("monthly_sales"))
     )
@@ -153,6 +158,7 @@ def publisher_revenue(
     books: DataFrame,
     publisher: DataFrame,
     ordered: bool = True,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Order amounts per publisher, an order's whole amount counting once for each of its lines.
 
@@ -160,7 +166,7 @@ def publisher_revenue(
     measure's definition and is kept.
     """
     per_book = (
-        sales_lines(orders, order_details)
+        sales_lines(orders, order_details, lines=lines)
         .groupBy("book_id")
         .agg(F.sum("total_amount").alias("revenue"))
     )
@@ -175,6 +181,11 @@ def publisher_revenue(
     return revenue.orderBy(F.desc("publisher_revenue"), "publisher_name") if ordered else revenue
 
 
-def _year_sales(orders: DataFrame, order_details: DataFrame, year: int) -> DataFrame:
+def _year_sales(
+    orders: DataFrame, order_details: DataFrame, year: int, lines: DataFrame | None
+) -> DataFrame:
+    """Copies per book in one year; of stored lines only the folder of the year is read."""
+    if lines is not None:
+        return book_sales(lines.filter(F.col(SALES_YEAR) == int(year)))
     in_orders = orders.filter(in_year(F.col("order_date"), int(year)))
     return book_sales(sales_lines(in_orders, order_details))

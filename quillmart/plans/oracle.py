@@ -34,14 +34,14 @@ STAR = {
                split_part(c_name, '#', 2) AS last_name,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'Male' WHEN 'HOUSEHOLD' THEN 'Female'
                     ELSE c_mktsegment END AS gender,
-               n_name AS preferred_language
+               n_name AS preferred_language, c_acctbal
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "t_reviews": """
         SELECT event_id AS review_id, CAST(props::JSON ->> 'k' AS BIGINT) AS book_id,
                user_id AS customer_id,
                CASE WHEN value >= 150 THEN 1 WHEN value >= 90 THEN 2 WHEN value >= 50 THEN 3
                     WHEN value >= 20 THEN 4 ELSE 5 END AS rating,
-               CAST(ts AS DATE) AS review_date
+               CAST(ts AS DATE) + CAST(400 * (event_id % 3) AS INTEGER) AS review_date
         FROM events""",
 }
 
@@ -133,6 +133,16 @@ BODIES = {
         FROM v_favourite f JOIN v_best b ON b.genre_title = f.genre_title
         WHERE NOT EXISTS (SELECT 1 FROM v_purchases p
                           WHERE p.customer_id = f.customer_id AND p.book_id = b.book_id)""",
+    "purchased_in_preferred_genre_of_one": """
+        SELECT p.customer_id, p.book_id, p.title, p.genre_title
+        FROM v_purchases p JOIN v_favourite f USING (customer_id, genre_title)
+        WHERE p.customer_id = 7""",
+    "recommend_books_of_one": """
+        SELECT f.customer_id, f.genre_title, b.title, b.book_id, b.total_book_sales
+        FROM v_favourite f JOIN v_best b ON b.genre_title = f.genre_title
+        WHERE f.customer_id = 7
+          AND b.book_id NOT IN (SELECT book_id FROM v_purchases WHERE customer_id = 7)
+        ORDER BY b.total_book_sales DESC, b.title, b.book_id""",
     "churn_risk": """
         SELECT customer_id, MAX(order_date) AS last_order_date,
                CAST(DATE '2001-08-01' - MAX(order_date) AS INTEGER) AS days_since_order
@@ -147,6 +157,12 @@ BODIES = {
                CAST(ROUND(SUM(o.total_amount), 2) AS DOUBLE) AS total_spend
         FROM t_orders o JOIN t_customer c ON c.customer_id = o.customer_id
         GROUP BY c.customer_id, c.first_name, c.last_name""",
+    "monetary_of_one": """
+        SELECT c.customer_id, c.first_name, c.last_name,
+               CAST(ROUND(SUM(o.total_amount), 2) AS DOUBLE) AS total_spend
+        FROM t_orders o JOIN t_customer c ON c.customer_id = o.customer_id
+        WHERE c.customer_id = 7
+        GROUP BY c.customer_id, c.first_name, c.last_name""",
     "average_order_value": AVERAGE_VALUE,
     "customer_lifetime_value": f"""
         SELECT a.customer_id, a.first_name, a.last_name,
@@ -221,6 +237,14 @@ BODIES = {
         FROM t_books b LEFT JOIN t_reviews r ON r.book_id = b.book_id
         GROUP BY b.book_id, b.title
         HAVING AVG(r.rating) < 3 OR SUM(CASE WHEN r.rating <= 2 THEN 1 ELSE 0 END) > 3""",
+    "poorly_performing_books_strict": """
+        SELECT b.book_id, b.title, COUNT(r.review_id) AS total_reviews,
+               AVG(r.rating) AS avg_rating,
+               CAST(SUM(CASE WHEN r.rating <= 2 THEN 1 ELSE 0 END) AS BIGINT)
+                   AS negative_review_count
+        FROM t_books b LEFT JOIN t_reviews r ON r.book_id = b.book_id
+        GROUP BY b.book_id, b.title
+        HAVING AVG(r.rating) < 3.6 OR SUM(CASE WHEN r.rating <= 2 THEN 1 ELSE 0 END) > 20""",
     "declining_sales": """
         SELECT b.book_id, b.title, c.month, c.monthly_sales, c.prev_month_sales, c.sales_change
         FROM (SELECT t.*, ROUND((CAST(monthly_sales - prev_month_sales AS DOUBLE)

@@ -21,13 +21,13 @@ from quillmart.operators import (
     reviews,
     sales,
 )
-from quillmart.sources.sinks import store_small
 from quillmart.sources.synthetic import SyntheticStar
 
 AS_OF = dt.date(2001, 8, 1)
 CHURN_DAYS = 90
 SALES_YEAR = 1998
 REVIEW_YEAR = 2024
+CUSTOMER = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,10 +40,6 @@ def _favourite(t: SyntheticStar) -> DataFrame:
     return recommend.preferred_genre(relations.customer_frequent_genre(*_purchases(t)))
 
 
-def _stored_best_sellers(t: SyntheticStar) -> DataFrame:
-    return store_small(relations.best_sellers_by_genre(t.order_details, t.books, t.genre))
-
-
 OPERATORS: dict[str, Callable[[SyntheticStar], DataFrame]] = {
     # derived relations
     "customer_book_details": lambda t: relations.customer_book_details(*_purchases(t)),
@@ -63,13 +59,18 @@ OPERATORS: dict[str, Callable[[SyntheticStar], DataFrame]] = {
     "preferred_genre_best_sellers": lambda t: recommend.preferred_genre_best_sellers(
         *_purchases(t)
     ),
-    "recommend_books": lambda t: recommend.recommend_books(
-        *_purchases(t), best_sellers=_stored_best_sellers(t)
+    "recommend_books": lambda t: recommend.recommend_books(*_purchases(t)),
+    "purchased_in_preferred_genre_of_one": lambda t: recommend.purchased_in_preferred_genre(
+        *_purchases(t), customer_id=CUSTOMER, broadcast_orders=True
+    ),
+    "recommend_books_of_one": lambda t: recommend.recommend_books(
+        *_purchases(t), customer_id=CUSTOMER
     ),
     # customers
     "churn_risk": lambda t: customers.churn_risk(t.orders, CHURN_DAYS, AS_OF),
     "recency": lambda t: customers.recency(t.orders, AS_OF),
     "monetary": lambda t: customers.monetary(t.orders, t.customer),
+    "monetary_of_one": lambda t: customers.monetary(t.orders, t.customer, CUSTOMER),
     "average_order_value": lambda t: customers.average_order_value(t.orders, t.customer),
     "customer_lifetime_value": lambda t: customers.customer_lifetime_value(t.orders, t.customer),
     "avg_days_between_purchases": lambda t: customers.avg_days_between_purchases(t.orders),
@@ -95,6 +96,9 @@ OPERATORS: dict[str, Callable[[SyntheticStar], DataFrame]] = {
         t.orders, t.order_details, t.books, SALES_YEAR
     ),
     "poorly_performing_books": lambda t: sales.poorly_performing_books(t.books, t.reviews),
+    "poorly_performing_books_strict": lambda t: sales.poorly_performing_books(
+        t.books, t.reviews, rating_below=3.6, negatives_above=20
+    ),
     "declining_sales": lambda t: sales.declining_sales(t.orders, t.order_details, t.books),
     "publisher_revenue": lambda t: sales.publisher_revenue(
         t.orders, t.order_details, t.books, t.publisher

@@ -8,6 +8,14 @@ from quillmart import schemas
 from quillmart.operators import relations
 from quillmart.sources import StarTables
 
+SENTIMENT_BY_YEAR = """
+    CREATE OR REPLACE TEMPORARY FUNCTION sentiment_by_year(year INT)
+    RETURNS TABLE (review_classification STRING, total_reviews BIGINT)
+    RETURN SELECT review_classification, COUNT(*) FROM review_sentiment
+           WHERE review_date >= make_date(sentiment_by_year.year, 1, 1)
+             AND review_date < make_date(sentiment_by_year.year + 1, 1, 1)
+           GROUP BY review_classification"""
+
 
 def derived_relations(star: StarTables) -> dict[str, DataFrame]:
     sales = (star.orders, star.order_details, star.books, star.genre)
@@ -23,7 +31,11 @@ def derived_relations(star: StarTables) -> dict[str, DataFrame]:
 
 
 def register_views(star: StarTables) -> None:
-    """Register the seven tables and the seven derived relations under their names."""
+    """Register the seven tables and the seven derived relations under their names.
+
+    ``sentiment_by_year(year)`` becomes a table function: ``SELECT * FROM sentiment_by_year(2022)``.
+    """
     tables = {name: getattr(star, name) for name in schemas.TABLES}
     for name, df in (tables | derived_relations(star)).items():
         df.createOrReplaceTempView(name)
+    star.reviews.sparkSession.sql(SENTIMENT_BY_YEAR)

@@ -84,3 +84,6 @@ STATES = _struct(
     division=StringType(),
     region_code=StringType(),
 )
+
+# Year of the order date: the folders of stored sales lines.
+SALES_YEAR = "order_year"

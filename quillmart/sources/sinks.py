@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from quillmart.schemas import SALES_YEAR
 
 
 def write_result(
@@ -48,21 +49,30 @@ def write_bucketed(
     writer.saveAsTable(table)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all machines of the cluster share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def write_sales_lines(
+    orders: DataFrame, order_details: DataFrame, path: str, mode: str = "errorifexists"
+) -> None:
+    """Write order lines with the columns of their order, in one folder per year.
+
+    Sales of a year then read that year alone, and no operator over lines joins orders. Lines of
+    undated orders go to a folder of their own.
+    """
+    lines = order_details.join(orders, "order_id").withColumn(SALES_YEAR, F.year("order_date"))
+    write_result(lines, path, (SALES_YEAR,), mode)
 
 
-def store_small(df: DataFrame) -> DataFrame:
-    """A small result that a later plan uses, written to the shared folder and read back.
+def store(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A result that later plans use, written to ``folder`` under ``name`` and read back.
 
-    The files tell the planner its true size before the job starts, and losing executors does not
-    cost its computation. Without a shared folder the result stays a plan. The tables are left in
-    the folder for its owner to clear.
+    The files tell the planner its true size before a job starts, and losing executors does not cost
+    its computation. An earlier result of the name is replaced, so a folder holds one of each. On a
+    cluster the folder has to be one that all machines share: a path of the local file system is
+    refused there, as every executor would write to its own disk.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/quillmart-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and (folder.startswith(("file:", "/")) or "://" not in folder):
+        raise ValueError(f"{folder!r} does not name a file system that all machines share")
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

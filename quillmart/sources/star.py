@@ -11,6 +11,9 @@ from pyspark.sql.types import StructType
 from quillmart import schemas
 
 
+FACTS = ("orders", "order_details", "reviews")
+
+
 class MissingColumnsError(ValueError):
     """A table lacks columns its schema requires."""
 
@@ -87,9 +90,12 @@ def load_star_jdbc(
 
     ``bounds`` gives (key column, lowest key, highest key, partitions) for each table to be read by
     several tasks. The keys outside the bounds are read too, by the first and last of them. A table
-    without an entry is read by one task, so every large table needs one. The driver for the database has to
-    be on Spark's class path.
+    without an entry is read by one task; the fact tables have to have one. The driver for the
+    database has to be on Spark's class path.
     """
+    missing = [name for name in FACTS if name not in bounds]
+    if missing:
+        raise ValueError(f"bounds are missing for {missing}, which one task cannot read")
 
     def read(name: str) -> DataFrame:
         if name not in bounds:

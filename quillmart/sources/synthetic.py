@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 RAW = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING, c_acctbal DOUBLE",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, "
     "o_orderdate TIMESTAMP_NTZ",
@@ -95,6 +95,7 @@ class SyntheticStar:
             "CASE c_mktsegment WHEN 'BUILDING' THEN 'Male' WHEN 'HOUSEHOLD' THEN 'Female' "
             "ELSE c_mktsegment END AS gender",
             "n_name AS preferred_language",
+            "c_acctbal",
         )
 
     @cached_property
@@ -105,7 +106,8 @@ class SyntheticStar:
             "user_id AS customer_id",
             "CASE WHEN value >= 150 THEN 1 WHEN value >= 90 THEN 2 WHEN value >= 50 THEN 3 "
             "WHEN value >= 20 THEN 4 ELSE 5 END AS rating",
-            "CAST(ts AS DATE) AS review_date",
+            # Events are of one month; spread over three years so that a year leaves some out.
+            "date_add(CAST(ts AS DATE), CAST(400 * (event_id % 3) AS INT)) AS review_date",
         )
 
     @cached_property

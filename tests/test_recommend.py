@@ -132,17 +132,32 @@ def test_stored_best_sellers_give_the_same_recommendations(shop, spark, tmp_path
     ) == sorted(rows(recommend.preferred_genre_best_sellers(*tables)))
 
 
-def test_look_up_of_a_customer_with_many_orders_is_not_broadcast(shop, monkeypatch):
+def test_orders_of_one_customer_are_broadcast_on_request_only(shop):
     tables = purchases(shop)
-    few = relations.customer_book_details(*tables, customer_id=10)
-    monkeypatch.setattr(relations, "LOOKUP_ORDERS", 1)
-    many = relations.customer_book_details(*tables, customer_id=10)
-    assert sorted(rows(few)) == sorted(rows(many))
+    plain = relations.customer_book_details(*tables, customer_id=10)
+    asked = relations.customer_book_details(*tables, customer_id=10, broadcast_orders=True)
+    assert sorted(rows(plain)) == sorted(rows(asked))
     hinted = [
         "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
-        for df in (few, many)
+        for df in (plain, asked)
     ]
-    assert hinted == [True, False]
+    assert hinted == [False, True]
+
+
+def test_orders_without_a_customer_belong_to_nobody(make):
+    orders = make.orders([(1, None, None, None), (2, 11, None, None)])
+    lines = make.order_details([(1, 3, 1, 0), (2, 1, 9, 0), (2, 3, 1, 0)])
+    books = make.books([(1, "Zebra", 1, 1), (3, "Bee", 1, 1)])
+    tables = orders, lines, books, make.genre([(1, "Nature")])
+    frequent = relations.customer_frequent_genre(*tables)
+    assert {r[0] for r in rows(frequent)} == {None, 11}
+    for got in (
+        recommend.preferred_genre(frequent),
+        recommend.purchased_in_preferred_genre(*tables),
+        recommend.preferred_genre_best_sellers(*tables),
+    ):
+        assert {r[0] for r in rows(got)} == {11}
+    assert rows(recommend.recommend_books(*tables)) == []
 
 
 def _expected(orders, lines, books, genre):

@@ -143,6 +143,57 @@ def test_lines_of_a_hot_book_are_split(skewed, conf):
     assert details.count() == LINES
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_recommendation_splits_a_hot_book(spark, skewed, conf, tmp_path, stored):
+    # Half of the customers do not own the hot book, so that there is something to recommend.
+    orders = skewed.orders.withColumn("hot", F.col("customer_id") % 2 == 0)
+    kept = skewed.order_details.join(orders.select("order_id", "hot"), "order_id")
+    details = kept.filter("hot OR book_id > 0").drop("hot")
+    details.write.parquet(str(tmp_path / "details"))
+    tables = list(_purchases(skewed))
+    tables[1] = spark.read.parquet(str(tmp_path / "details"))
+    best = relations.best_sellers_by_genre(*tables[1:])
+    if stored:
+        best.write.parquet(str(tmp_path / "best"))
+        best = spark.read.parquet(str(tmp_path / "best"))
+    expected = rows(recommend.recommend_books(*tables))
+    conf(NO_BROADCAST | SPLIT_SMALL)
+    got = recommend.recommend_books(*tables, best_sellers=best if stored else None)
+    joins = [part.split("\n")[0] for part in _final_plan(got).split("SortMergeJoin")[1:]]
+    assert any(j.startswith("(skew=true)") and "[book_id" in j for j in joins)
+    assert sorted(rows(got)) == sorted(expected) and expected
+
+
+def test_lines_are_not_shuffled_by_genre(skewed, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "1KB"})
+    genre = skewed.genre.distinct()
+    tables = (*_purchases(skewed)[:3], genre)
+    for operator in (
+        relations.customer_book_details,
+        relations.customer_frequent_genre,
+        recommend.recommend_books,
+        recommend.purchased_in_preferred_genre,
+        recommend.preferred_genre_best_sellers,
+    ):
+        plan = _plan(operator(*tables))
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning(genre_id" in line:
+                below = "".join(lines[i + 1 : i + 3])
+                assert "order_id" not in below and "customer_id" not in below.split("partial")[0]
+
+
+def test_building_a_query_starts_no_job(spark, monkeypatch, tmp_path):
+    from quillmart.plans import registry
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    for build in registry.queries().values():
+        build(spark, "/root/testdata/sf0.001")
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
 def test_lines_of_a_hot_customer_are_split(skewed, conf):
     tiny = {
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
@@ -243,13 +294,13 @@ def test_recommendation_counts_purchases_once(skewed, conf):
     assert sum("quantity" in s for s in scans) == 1
 
 
-def test_stored_best_sellers_are_broadcast_to_the_lines(spark, skewed, tmp_path):
+def test_stored_best_sellers_are_broadcast_to_the_catalogue(spark, skewed, tmp_path):
     path = str(tmp_path / "best")
     relations.best_sellers_by_genre(*_purchases(skewed)[1:]).write.parquet(path)
     best = spark.read.parquet(path)
     plan = _plan(recommend.recommend_books(*_purchases(skewed), best_sellers=best))
-    to_lines = next(line for line in plan.split("\n") if "LeftOuter" in line)
-    assert "BroadcastHashJoin" in to_lines
+    to_books = next(line for line in plan.split("\n") if "LeftOuter" in line)
+    assert "BroadcastHashJoin" in to_books
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10MB", "50KB"])

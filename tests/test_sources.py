@@ -4,16 +4,21 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from quillmart import schemas
-from quillmart.operators import dimensions, sales
+from quillmart.operators import dimensions, recommend, reviews, sales
 from quillmart.plans.views import derived_relations, register_views
-from quillmart.sources import MissingColumnsError, conform, load_star, sinks
+from quillmart.sources import MissingColumnsError, conform, load_star
 from quillmart.sources.csv_files import (
     read_genre_sizes,
     read_order_details,
     read_states,
     read_sub_genres,
 )
-from quillmart.sources.sinks import store_small, write_bucketed, write_result
+from quillmart.sources.sinks import (
+    store,
+    write_bucketed,
+    write_result,
+    write_sales_lines,
+)
 from quillmart.sources.star import conform_table, load_star_catalog, load_star_jdbc
 
 
@@ -126,9 +131,14 @@ def test_database_tables_are_read_in_key_ranges(shop):
     class Session:
         read = Reader()
 
-    star = load_star_jdbc(
-        Session(), "jdbc:x", {"user": "u"}, {"orders": ("order_id", 1, 1000, 20)}
-    )
+    bounds = {
+        "orders": ("order_id", 1, 1000, 20),
+        "order_details": ("order_id", 1, 1000, 40),
+        "reviews": ("review_id", 1, 500, 5),
+    }
+    star = load_star_jdbc(Session(), "jdbc:x", {"user": "u"}, bounds)
+    with pytest.raises(ValueError, match="order_details"):
+        load_star_jdbc(Session(), "jdbc:x", {}, {k: bounds[k] for k in ("orders", "reviews")})
     assert star.orders.columns == schemas.ORDERS.names
     assert calls["orders"] == {
         "column": "order_id",
@@ -172,13 +182,45 @@ def test_bucketed_facts_join_without_a_shuffle(spark, shop, tmp_path):
         spark.sql("DROP DATABASE shop_db CASCADE")
 
 
-def test_small_results_are_stored_only_where_a_shared_folder_is_named(
-    spark, shop, tmp_path, monkeypatch
-):
-    monkeypatch.setattr(sinks, "shared_folder", lambda session: None)
-    assert store_small(shop.genre) is shop.genre
-    monkeypatch.setattr(sinks, "shared_folder", lambda session: f"{tmp_path}/")
-    stored = store_small(shop.genre)
+def test_a_stored_result_replaces_the_one_before(shop, tmp_path):
+    stored = [store(shop.genre, f"{tmp_path}/", "genre") for _ in range(2)][-1]
     assert sorted(rows(stored)) == sorted(rows(shop.genre))
     assert stored.schema == shop.genre.schema
-    assert [p.name.startswith("quillmart-") for p in tmp_path.iterdir()] == [True]
+    assert [p.name for p in tmp_path.iterdir()] == ["genre"]
+
+
+@pytest.mark.parametrize("folder", ["/tmp/x", "file:///tmp/x", "x"])
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(shop, monkeypatch, folder):
+    monkeypatch.setattr(shop.genre.sparkSession.sparkContext, "master", "yarn")
+    with pytest.raises(ValueError, match="share"):
+        store(shop.genre, folder, "genre")
+
+
+def test_stored_lines_give_the_same_sales(spark, shop, tmp_path):
+    path = str(tmp_path / "lines")
+    write_sales_lines(shop.orders, shop.order_details, path)
+    assert (tmp_path / "lines" / "order_year=2023").is_dir()
+    lines = spark.read.parquet(path)
+    tables = shop.orders, shop.order_details, shop.books
+    for operator, args in (
+        (sales.genre_sales_by_year, (*tables, shop.genre, 2023)),
+        (sales.book_sales_by_year, (*tables, 2023)),
+        (sales.top_bottom_books, (*tables, 2023)),
+        (sales.declining_sales, tables),
+        (sales.publisher_revenue, (*tables, shop.publisher)),
+        (recommend.recommend_books, (*tables, shop.genre)),
+        (recommend.purchased_in_preferred_genre, (*tables, shop.genre)),
+        (recommend.preferred_genre_best_sellers, (*tables, shop.genre)),
+    ):
+        with_lines = operator(*args, lines=lines)
+        assert sorted(rows(with_lines), key=repr) == sorted(rows(operator(*args)), key=repr)
+        if 2023 in args:
+            plan = with_lines._jdf.queryExecution().executedPlan().toString()
+            assert "order_year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+            assert "order_date" not in plan
+
+
+def test_sentiment_by_year_is_a_table_function(spark, shop):
+    register_views(shop)
+    got = rows(spark.sql("SELECT * FROM sentiment_by_year(2022)"))
+    assert sorted(got) == sorted(rows(reviews.sentiment_by_year(shop.reviews, 2022))) and got
