@@ -81,8 +81,9 @@ def encode_documents(
     A task holds the ids of about a megabyte of text at a time.
     """
     kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    rows = docs.select(*map(quoted, kept), quoted(text_col).alias("\0text"))
-    schema = StructType([*rows.schema.fields[:-1], StructField(ids_col, ArrayType(IntegerType())), StructField(decoded_col, BinaryType())])
+    rows = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(kept)), quoted(text_col).alias("text"))
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
+    schema = StructType([*rows.schema.fields[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
@@ -91,10 +92,10 @@ def encode_documents(
                 ids = [ids_of(t, enc) for t in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], id_lists(ids), pa.array([decoded(x, enc) for x in ids], pa.binary())],
-                    names=[*kept, ids_col, decoded_col],
+                    names=schema.names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, ids_col, decoded_col)
 
 
 def id_lists(ids: list[np.ndarray]) -> pa.Array:
@@ -111,16 +112,16 @@ def decode_documents(
 ) -> DataFrame:
     """``coded`` with the raw bytes of its ids; they need not be valid UTF-8."""
     kept = [c for c in coded.columns if c != decoded_col]
-    rows = coded.select(*map(quoted, kept), quoted(ids_col).alias("\0ids"))
-    schema = StructType([*rows.schema.fields[:-1], StructField(decoded_col, BinaryType())])
+    rows = coded.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(kept)), quoted(ids_col).alias("ids"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
         for batch in batches:
             out = [decoded(np.array(x or [], np.int64), enc) for x in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*kept, decoded_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, decoded_col)
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
