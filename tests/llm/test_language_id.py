@@ -1,0 +1,70 @@
+import pytest
+from conftest import rows
+from corpus import documents, no_documents, table
+from pyspark.sql import functions as F
+
+from quillmart.llm import grams, language_id
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return language_id.fit(docs, ~language_id.held_out("doc_id", 4, 2))
+
+
+def test_rows_kept_out_of_training_are_told(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    kept = told.filter(language_id.held_out("doc_id", 4, 2))
+    n, right, low, high = kept.agg(
+        F.count("*"), F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.min("score"), F.max("score")
+    ).first()
+    assert n > 200 and right > 0.97 and 0 < low <= high <= 1
+
+
+def test_weights_are_sparse(model):
+    assert (model.weights == 0).mean() > 0.3 and model.temperature > 0
+
+
+def test_awkward_texts(spark, model):
+    got = [tuple(r) for r in language_id.predict(documents(spark), model).collect()]
+    assert len(got) == 12
+    unknown = sorted(i for i, label, score in got if label == "und" and score == 0)
+    assert unknown == [1, 2, 3, 11]
+    assert len({r for r in got if r[0] == 7}) == 1
+    assert rows(language_id.predict(no_documents(spark), model)) == []
+
+
+def test_without_rows_to_learn_from_nothing_is_told(spark):
+    assert language_id.fit(no_documents(spark), F.lit(True)) is None
+    got = rows(language_id.predict(documents(spark), None))
+    assert {r[1:] for r in got} == {("und", 0.0)}
+
+
+def test_accepted_rows_keep_all_columns(spark, model):
+    docs = documents(spark)
+    got = language_id.accepted(docs, model, 0.0)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.filter("doc_id IS NOT NULL").collect()) == [4, 5, 6, 7, 7, 9, 10]
+
+
+def test_a_text_has_the_same_grams_whole_or_in_chunks(monkeypatch):
+    text = "Été über alles 12 señor " * 300
+    table = grams.letters()
+
+    def counted():
+        out = []
+        for at, pieces in grams.chunks([text, "b", "", text]):
+            found, piece = grams.hashed(pieces, table, 15)
+            out += [(at[p], int(f)) for f, p in zip(found, piece, strict=True)]
+        return sorted(out)
+
+    whole = counted()
+    monkeypatch.setattr(grams, "CHUNK", 64)
+    assert counted() == whole
+
+
+def test_fold_of_rows_without_an_id(spark):
+    folds = documents(spark).select(language_id.held_out("doc_id", 4, 2).alias("f"), "doc_id")
+    assert folds.filter("doc_id IS NULL").first()["f"] is True
+    assert table(spark, "documents").filter(language_id.held_out("doc_id", 4, 2)).count() > 0

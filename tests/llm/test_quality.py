@@ -1,0 +1,53 @@
+import numpy as np
+from conftest import rows
+from corpus import documents, no_documents
+from pyspark.sql import functions as F
+
+from quillmart.llm import language_id, quality
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_rows_kept_out_of_training_are_scored(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = language_id.held_out("id", 5, 0)
+    scored = quality.score_documents(docs, labels, ~kept)
+    judged = scored.filter(kept).join(labels, F.col("id") == F.col("doc_id"))
+    right = F.avg(((F.col("score") >= 0.3) == (F.col("quality") == 1)).cast("int"))
+    n, share, low, high = judged.agg(F.count("*"), right, F.min("score"), F.max("score")).first()
+    assert n > 50 and share > 0.95 and low >= 0 and high <= 1
+    assert scored.count() == docs.count()
+
+
+def test_awkward_texts_and_labels(spark):
+    labels = spark.createDataFrame(
+        [(4, 1), (4, None), (5, 0), (6, 1), (7, 1), (99, 0), (None, 1)], "doc_id long, quality int"
+    )
+    got = rows(quality.score_documents(documents(spark), labels, F.lit(True)))
+    assert len(got) == 12 and all(0 <= s <= 1 for _, s in got)
+    assert len({s for i, s in got if i in (6, 7)}) == 1
+    assert len({s for i, s in got if i in (1, 2)}) == 1
+    assert rows(quality.score_documents(no_documents(spark), labels, F.lit(True))) == []
+
+
+def test_without_labels_every_score_is_a_half(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {s for _, s in rows(quality.score_documents(documents(spark), labels, F.lit(True)))} == {0.5}
+
+
+def test_isotonic_regression_pools_neighbours_that_fall():
+    got = quality.isotonic(np.array([0, 2, 1, 1, 3.0]), np.array([2, 2, 2, 4, 3.0]))
+    assert np.allclose(got, [0, 0.5, 0.5, 0.5, 1])
+    assert (np.diff(got) >= 0).all()
+
+
+def test_parts_of_the_normal_equations_add_up(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, quality.STATISTICS))
+    model = quality.QualityModel(
+        np.zeros(16), np.ones(16), rng.normal(size=(16, 8)), rng.uniform(size=8), np.zeros(9), np.zeros(1), np.zeros(1)
+    )
+    table = spark.createDataFrame([(r.tolist(), float(i % 2)) for i, r in enumerate(x)], "x array<double>, y double")
+    left, right, n = quality.normal_equations(table.repartition(5), model)
+    z = model.features(x)
+    assert n == 200 and np.allclose(left, z.T @ z) and np.allclose(right, z.T @ (np.arange(200) % 2))
