@@ -26,14 +26,14 @@ def has_letter(text: str | None) -> bool:
 
 
 def chunks(texts: Iterable[str], overlap: int = 2) -> Iterator[tuple[list[int], list[str]]]:
-    """Numbers of texts and pieces of them, about ``CHUNK`` characters at a time.
+    """Numbers of texts and pieces of them in lower case, about ``CHUNK`` characters at a time.
 
-    A longer text is cut; its pieces overlap so that every n-gram is in exactly one of them.
+    A longer text is cut; its pieces overlap, and n-grams count where they start before the overlap.
     """
     at: list[int] = []
     held: list[str] = []
     size = 0
-    for i, text in enumerate(texts):
+    for i, text in enumerate(map(str.lower, texts)):
         start = 0
         while True:
             piece = text[start : start + CHUNK + overlap]
@@ -44,7 +44,7 @@ def chunks(texts: Iterable[str], overlap: int = 2) -> Iterator[tuple[list[int],
                 yield at, held
                 at, held, size = [], [], 0
             start += CHUNK
-            if len(text) - start <= overlap:
+            if len(text) - start < overlap:
                 break
     if held:
         yield at, held
@@ -53,21 +53,19 @@ def chunks(texts: Iterable[str], overlap: int = 2) -> Iterator[tuple[list[int],
 def hashed(pieces: list[str], table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of all 2-grams and 3-grams, and the number of the piece each is in.
 
-    Texts are lower-cased; what is no letter counts as a blank. The n-grams never leave a piece.
+    What is no letter counts as a blank. The n-grams never leave a piece.
     """
-    joined = "".join(pieces).lower() if all(p.isascii() for p in pieces) else None
-    if joined is None:  # lower case can change the length
-        pieces = [p.lower() for p in pieces]
-        joined = "".join(pieces)
+    joined = "".join(pieces)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(codes < LOOKED_UP, table[np.minimum(codes, LOOKED_UP - 1)], codes)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     piece = np.repeat(np.arange(len(pieces)), lengths)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < CHUNK
     shift = np.uint32(32 - bits)
     a, b, c = MULTIPLIERS
     two = codes[:-1] * a + codes[1:] * b
     three = two[:-1] + codes[2:] * c
-    same2, same3 = piece[:-1] == piece[1:], piece[:-2] == piece[2:]
+    same2, same3 = ((piece[:-n] == piece[n:]) & inside[:-n] for n in (1, 2))
     found = np.concatenate([mixed(two[same2]) >> shift, mixed(three[same3] + np.uint32(97)) >> shift])
     return found, np.concatenate([piece[:-1][same2], piece[:-2][same3]])
 
