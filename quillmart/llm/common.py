@@ -63,6 +63,25 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         yield batch.slice(start, end - start)
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links ``a, b`` between ``n`` nodes make a spanning forest."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept[i] = True
+    return kept
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from every node: columns ``node`` and ``component``.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import components, quoted, stored
+from quillmart.llm.common import components, forest, quoted, stored
 from quillmart.llm.vectors import common_length, lists, matrix, usable
 
 
@@ -114,25 +114,6 @@ def fit(sample: np.ndarray, n: int, cosine: float, s: Settings) -> MultiIndex:
     return MultiIndex(books, float(np.quantile(excess, s.recall)) + 1e-12)
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links ``a, b`` between ``n`` nodes make a spanning forest."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept[i] = True
-    return kept
-
-
 def near_duplicates(
     rows: DataFrame,
     cosine: float,
