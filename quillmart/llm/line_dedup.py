@@ -45,7 +45,9 @@ def _keys(id_col: str, text: Column) -> tuple[Column, Column]:
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """Every line that is long enough: ``pos``, ``line`` and its two hashes."""
     text = quoted(text_col)
-    lines = docs.select(*_keys(id_col, text), F.posexplode(split_lines(text)).alias("no", "line"))
+    # Keys in a step of their own: next to the rows of the lines they would be computed for each of them.
+    keyed = docs.select(*_keys(id_col, text), text.alias("text"))
+    lines = keyed.select("doc", "same", F.posexplode(split_lines(F.col("text"))).alias("no", "line"))
     whole = lambda c: F.col(c).cast("decimal(20,0)")
     place = ((whole("doc") * TEXTS + whole("same")).cast("decimal(28,0)") * F.lit(LINES).cast("decimal(11,0)")).cast(
         "decimal(38,0)"
@@ -76,9 +78,9 @@ def _ends(line: Column, n: Column) -> Column:
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Hashes of both halves, if the longer of two lines has the line's length, or one more."""
+    """Hashes of both halves, if the shorter of two lines has the line's length, or one less."""
     out = []
-    for shorter in (n, n - 1):  # the shorter of two lines; the pair is keyed by it
+    for shorter in (n, n - 1):
         first = F.floor(shorter / 2).cast("int")
         rest = shorter - first
         out += [
@@ -89,10 +91,14 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 def _shared(rows: DataFrame, keys: Column) -> DataFrame:
-    """Rows that share one of their keys with another line: one row of hashes ``h``, ``h2`` each."""
-    keyed = rows.select("h", "h2", F.explode(keys).alias("key"))
+    """Lines that share a key with another line: ``h``, ``h2``, and whether one of the first and the
+    second of each pair of keys is shared."""
+    keyed = rows.select("h", "h2", F.posexplode(keys).alias("side", "key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    return keyed.join(shared, "key").groupBy("h", "h2").agg(F.lit(1).alias("one")).drop("one")
+    side = F.col("side") % 2
+    return keyed.join(shared, "key").groupBy("h", "h2").agg(
+        (F.min(side) == 0).alias("first"), (F.max(side) == 1).alias("second")
+    )
 
 
 def first_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -106,7 +112,7 @@ def first_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
         .agg(F.min("pos").alias("pos")), "lines",
     )
     ends = F.filter(F.array("e0", "e1", "e2", "e3"), lambda e: e.isNotNull())
-    some = stored(_shared(distinct, ends).join(distinct.select("h", "h2", "pos"), ["h", "h2"]), "candidates")
+    some = stored(_shared(distinct, ends).select("h", "h2").join(distinct.select("h", "h2", "pos"), ["h", "h2"]), "candidates")
     # A bounded number of buckets of hashes keeps most other lines from the join that fetches the texts.
     bucket = F.pmod("h", F.lit(BUCKETS)).alias("bucket")
     buckets = F.broadcast(some.select(bucket).distinct())
@@ -120,15 +126,18 @@ def first_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 def _neighbours(texts: DataFrame) -> DataFrame:
     """``h, h2`` of lines and the earliest line ``other`` that shares a hash with each.
 
-    The hash of a string is the exclusive or of the hashes of its characters and their places, so that
-    those of all deletions follow from sums along the line.
+    Only places outside a half that is shared with another line are deleted. The hash of a string is the
+    exclusive or of the hashes of its characters and their places, so that those of all deletions follow
+    from sums along the line.
     """
-    chars = texts.select("h", "h2", "pos", "n", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("i", "c"))
+    chars = texts.select("h", "h2", "pos", "n", "first", "second", F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("i", "c"))
     here, moved = F.xxhash64("c", "i"), F.xxhash64("c", F.col("i") - 1)
     line = Window.partitionBy("h", "h2")
     so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.floor(F.col("n") / 2)
+    differs = (F.col("first") & (F.col("i") >= F.floor((F.col("n") - 1) / 2))) | (F.col("second") & (F.col("i") <= middle))
     deleted = chars.select(
-        "h", "h2", "pos", "n", "i",
+        "h", "h2", "pos", "n", "i", differs.alias("differs"),
         F.bit_xor(here).over(line).alias("whole"),
         F.bit_xor(here.bitwiseXOR(moved)).over(so_far).bitwiseXOR(here)
         .bitwiseXOR(F.bit_xor(moved).over(line)).alias("without"),
@@ -136,9 +145,9 @@ def _neighbours(texts: DataFrame) -> DataFrame:
     # The line itself once, at place -1, and a row for each deletion.
     own = F.struct(F.col("n").alias("size"), F.col("whole").alias("hash"), F.lit(-1).alias("at"))
     less = F.struct((F.col("n") - 1).alias("size"), F.col("without").alias("hash"), F.col("i").alias("at"))
-    emitted = deleted.select(
-        "h", "h2", "pos", F.inline(F.when(F.col("i") == 0, F.array(own, less)).otherwise(F.array(less)))
-    )
+    start, differs = F.col("i") == 0, F.col("differs")
+    rows = F.when(start & differs, F.array(own, less)).when(start, F.array(own)).otherwise(F.array(less))
+    emitted = deleted.filter(start | differs).select("h", "h2", "pos", F.inline(rows))
     seen = emitted.groupBy("size", "hash").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b")
     met = emitted.join(seen.select("size", "hash"), ["size", "hash"])
     member = F.struct("pos", "h", "h2")
