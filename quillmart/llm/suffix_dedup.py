@@ -46,7 +46,7 @@ class Settings:
     window: int = 200  # RANKED + GRID + 8 at least
     gram: int = 40
     group_bytes: int = 1 << 22
-    bucket_contexts: int = 2000
+    bucket_contexts: int = 20_000  # 8 MB of contexts at most, as a context has less than two windows
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
