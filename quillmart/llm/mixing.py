@@ -1,13 +1,14 @@
 """Mixing a corpus to target weights of domains that documents belong to softly.
 
-Built of DataFrame functions alone. Naive Bayes over hashed words that tell domains apart, learned from a bounded sample of a labelled
-table, predicts how far each document belongs to each domain; the sharpness of each domain's evidence is fitted on
-labelled documents kept out of the counts. Every document then gets a rate between 0 and ``most``: how often it is to be taken. The
-rates are found by projected gradient descent on the squared gaps between the tokens expected of each domain and
-its target, in shares of all tokens, with a small pull towards a rate of 1. A document's slope is the sum of the
-gaps weighted by its posteriors; the gaps are scaled by their curvature over the rates that are not at a bound, and
-the steps are summed up before they are projected, so that a few numbers describe all rates. Documents are summed
-up by posteriors rounded to a grid before the descent, and every step is one aggregation of those sums.
+Built of DataFrame functions alone. Naive Bayes over hashed words that tell domains apart, learned from a
+bounded sample of a labelled table, predicts how far each document belongs to each domain; the sharpness of
+each domain's evidence is fitted on labelled documents kept out of the counts. Every document then gets a rate
+between 0 and ``most``: how often it is to be taken. The rates are found by projected gradient descent on the
+squared gaps between the tokens expected of each domain and its target, in shares of all tokens, with a small
+pull towards a rate of 1. A document's slope is the sum of the gaps weighted by its posteriors; the gaps are
+scaled by their curvature over the rates that are not at a bound, and the steps are summed up before they are
+projected, so that a few numbers describe all rates. Documents are summed up by posteriors rounded to a grid
+before the descent, and every step is one aggregation of those sums.
 
 The total, unless given, is what keeps the domain of the largest weight whole. Copies are the rate rounded up
 or down by a hash of the document, so that their expectation is the rate.
@@ -40,7 +41,7 @@ class Settings:
     deviations: float = 8.0  # from which on a bucket tells a domain apart
     grid: int = 128  # steps of a posterior
     sweeps: int = 2  # over the domains
-    pull: float = 1e-3
+    pull: float = 1e-4
     steps: int = 40
     tolerance: float = 1e-5  # of all tokens
     sharpness: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)
@@ -55,10 +56,10 @@ def _words(docs: DataFrame, s: Settings, *columns: str) -> DataFrame:
     """A row for every different word of a document, with the bucket of its hash; a document without any
     has a row for the empty word."""
     split = docs.select(*columns, F.split(F.lower("text"), r"[\s.,]+").alias("words"))
-    return split.select(
-        *columns,
-        F.size(F.array_remove("words", "")).alias("n_tokens"),
-        F.posexplode(F.array_distinct("words")).alias("at", "word"),
+    # Counted in a step of its own: next to the rows of the words it would be counted for each of them.
+    counted = split.withColumn("n_tokens", F.size(F.array_remove("words", "")))
+    return counted.select(
+        *columns, "n_tokens", F.posexplode(F.array_distinct("words")).alias("at", "word")
     ).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(s.buckets)).cast("int"))
 
 
