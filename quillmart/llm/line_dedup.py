@@ -2,7 +2,8 @@
 
 A line goes if an earlier line, of the same document or one before it, is within one edit (a character
 inserted, deleted or replaced) or equal. Earlier is by document id, then by line number. Lines shorter than
-``min_chars`` characters stay and are compared with nothing.
+``min_chars`` characters are not compared for edits, which would make one of "1." and "2."; with
+``short_repeats`` they go if an equal line is earlier, unless they are empty or white space, else they stay.
 
 Two lines are within one edit when deleting one character of one, or of each at the same place, makes them
 equal. Every line emits the hashes of itself and of all its one-character deletions; equal hashes are joined,
@@ -42,8 +43,14 @@ def _keys(id_col: str, text: Column) -> tuple[Column, Column]:
     return doc, F.pmod(F.xxhash64(text), F.lit(TEXTS)).alias("same")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Every line that is long enough: ``pos``, ``line`` and its two hashes."""
+def _compared(line: Column, min_chars: int, short_repeats: bool) -> Column:
+    """Whether a line may go: it is long enough, or a shorter one that is not blank."""
+    long_enough = F.char_length(line) >= min_chars
+    return long_enough | line.rlike(r"\S") if short_repeats else long_enough
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short_repeats: bool) -> DataFrame:
+    """Every line that may go: ``pos``, ``line`` and its two hashes."""
     text = quoted(text_col)
     # Keys in a step of their own: next to the rows of the lines they would be computed for each of them.
     keyed = docs.select(*_keys(id_col, text), text.alias("text"))
@@ -52,7 +59,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     place = ((whole("doc") * TEXTS + whole("same")).cast("decimal(28,0)") * F.lit(LINES).cast("decimal(11,0)")).cast(
         "decimal(38,0)"
     ) + whole("no")
-    return lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars).select(
+    compared = lines.filter(_compared(F.col("line"), min_chars, short_repeats))
+    return compared.withColumn("n", F.char_length("line")).select(
         place.cast("decimal(38,0)").alias("pos"), "line", "n",
         F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"),
     )
@@ -101,12 +109,13 @@ def _shared(rows: DataFrame, keys: Column) -> DataFrame:
     )
 
 
-def first_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def first_places(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short_repeats: bool) -> DataFrame:
     """``pos`` of the lines that stay: first of their kind, and no neighbour before them."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    lines = _lines(docs, id_col, text_col, min_chars, short_repeats)
     line, n = F.col("line"), F.col("n")
+    # Without ends a line meets equal lines alone.
     distinct = stored(
-        lines.select("h", "h2", "pos", _ends(line, n).alias("ends"))
+        lines.select("h", "h2", "pos", F.when(n >= min_chars, _ends(line, n)).alias("ends"))
         .groupBy("h", "h2", F.col("ends")[0].alias("e0"), F.col("ends")[1].alias("e1"),
                  F.get("ends", F.lit(2)).alias("e2"), F.get("ends", F.lit(3)).alias("e3"))
         .agg(F.min("pos").alias("pos")), "lines",
@@ -173,17 +182,21 @@ def _verified(neighbours: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False
+) -> DataFrame:
     """``docs`` with only the lines that stay."""
-    kept = kept_lines(docs, min_chars, id_col, text_col)
+    kept = kept_lines(docs, min_chars, id_col, text_col, short_repeats)
     return kept.select(
         *(F.col("kept_text" if c == text_col else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))
     )
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_lines(
+    docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False
+) -> DataFrame:
     """Per row: struct ``row`` with the columns of ``docs`` as ``c0, c1, ...``, ``n_lines`` and ``kept_text``."""
-    stay = first_places(docs, id_col, text_col, min_chars)
+    stay = first_places(docs, id_col, text_col, min_chars, short_repeats)
     doc = F.floor(F.col("pos") / F.lit(LINES).cast("decimal(11,0)"))
     whole = F.floor(doc / F.lit(TEXTS).cast("decimal(10,0)"))
     numbers = stay.select(
@@ -200,6 +213,6 @@ def kept_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", tex
     body = F.col(f"row.c{docs.columns.index(text_col)}")
     kept = F.filter(
         split_lines(body),
-        lambda x, i: (F.char_length(x) < min_chars) | F.coalesce(F.array_contains("numbers", i), F.lit(False)),
+        lambda x, i: ~_compared(x, min_chars, short_repeats) | F.coalesce(F.array_contains("numbers", i), F.lit(False)),
     )
     return joined.select("row", F.size(split_lines(body)).alias("n_lines"), F.array_join(kept, "\n").alias("kept_text"))

@@ -88,7 +88,7 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.kept_lines(docs)
+    kept = line_dedup.kept_lines(docs, short_repeats=True)
     return kept.select(
         F.col("row.c0").alias("doc_id"),
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),

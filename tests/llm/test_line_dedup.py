@@ -1,10 +1,11 @@
+import hashlib
 import random
 from collections import defaultdict
 
 from conftest import rows
-from corpus import documents, no_documents, table, texts
+from corpus import SF_DIR, documents, no_documents, table, texts
 
-from quillmart.llm import line_dedup
+from quillmart.llm import line_dedup, registry
 
 
 def within_one_edit(a, b):
@@ -100,3 +101,30 @@ def test_a_text_with_very_many_and_very_long_lines(spark):
 def test_the_main_path_has_no_python(spark):
     plan = line_dedup.dedup(table(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_exact_repeats_of_short_lines_go_and_blank_lines_stay(spark):
+    docs = {
+        1: "Les.\n\n1.\na line that is long enough\nLes.\n  ",
+        2: "\nLes.\n2.\na line that is long enougH\n\u00e9\n  ",
+        3: "\u00e9\n1.\nnew\n\t",
+    }
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert dict(rows(line_dedup.dedup(table, short_repeats=True))) == {
+        1: "Les.\n\n1.\na line that is long enough\n  ",
+        2: "\n2.\n\u00e9\n  ",
+        3: "new\n\t",
+    }
+
+
+def test_the_query_leaves_no_repeat_of_any_length(spark):
+    left, seen = {}, set()
+    for i, text in sorted(plain(texts(spark)).items()):
+        left[i] = []
+        for line in text.split("\n"):
+            if len(line) >= 16 or not line.strip() or line not in seen:
+                left[i].append(line)
+            seen.add(line)
+    got = {r["doc_id"]: r["kept_sha256"] for r in registry.queries()["op9_line_dedup"](spark, SF_DIR).collect() if r["kept_sha256"]}
+    assert got == {i: hashlib.sha256("\n".join(left[i]).encode()).hexdigest() for i in got}
+    assert any(left[i] != t.split("\n") for i, t in plain(texts(spark)).items())
