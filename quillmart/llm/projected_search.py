@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: stable projections in a kd-tree, with a stopping test.
 
 Vectors get one more component that gives all of them one length, so that the largest inner product is the
-smallest distance. A Gaussian projection to few dimensions follows: squared projected distance over squared
-distance has a chi-square distribution. The leaves of a kd-tree over the projections are blocks of rows.
+smallest distance; a query's own is 0, whatever its length. A Gaussian projection to few dimensions follows:
+squared projected distance over squared distance has a chi-square distribution. The leaves of a kd-tree over the projections are blocks of rows.
 A query first verifies its own leaf; its k-th best distance then tells which other leaves may hold a nearer
 vector. In every block it verifies rows in the order of their projected distance until the test holds: a
 nearer vector than the k-th best would with probability ``confidence`` have come before.
@@ -193,7 +193,17 @@ def search(
         F.struct("leaf", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).alias("in_block"),
         *(F.col(c).alias(f"p_{c}") for c in ("id", "vec", "near")),
     )
-    queries = placed.filter(is_query)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Projection and leaf of a row as a query: its added component is 0."""
+        for batch in batches:
+            near = matrix(batch.column(1), dim) @ plane[:dim]
+            columns = [*batch.columns, lists(near), pa.array(leaf_of(near, tree))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*"id vec near leaf".split()])
+
+    queries = placed.filter(is_query).select("id", "vec").mapInArrow(
+        ask, "id long, vec array<double>, near array<double>, leaf int"
+    )
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The other leaves in reach of each query."""

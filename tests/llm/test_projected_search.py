@@ -45,6 +45,15 @@ def test_recall_over_leaves_and_blocks(spark):
     assert got[40] == expected[40]  # equal scores rank by id
 
 
+def test_recall_with_a_few_very_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(4000)[:40]] *= 10
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(found(spark, data, 20, block_rows=128, step=32), plain(data, 20)) >= 0.9
+
+
 def test_whole_table_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     data = [(r["vec_id"], r["embedding"]) for r in table.collect()]
