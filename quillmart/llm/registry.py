@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmart.llm import (
     byte_bpe,
+    hard_negatives,
     language_id,
     line_dedup,
     mixing,
     multi_index,
+    oracle,
     order_minhash,
     pii,
     projected_search,
@@ -101,6 +103,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    vectors = hard_negatives.whole_vectors(rows, 256.0, "vec_id", "embedding", "label")
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     operators = (
         op1_projected_search,
@@ -113,9 +122,10 @@ def queries() -> dict[str, Query]:
         op8_multi_index,
         op9_line_dedup,
         op10_byte_bpe,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
