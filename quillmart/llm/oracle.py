@@ -6,10 +6,10 @@ OP12_HARD_NEGATIVES = """
 WITH known AS (
     SELECT vec_id,
            CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-           list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+           [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+      AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
 ),
 scored AS (
     SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
