@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmart.llm import (
+    backoff_lm,
     byte_bpe,
     hard_negatives,
     language_id,
@@ -103,6 +104,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = backoff_lm.score_documents(docs, ~language_id.held_out("doc_id", 10, 0))
+    return scored.withColumns({"doc_id": F.col("id"), "held_out": ~F.col("learned")}).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
@@ -122,6 +131,7 @@ def queries() -> dict[str, Query]:
         op8_multi_index,
         op9_line_dedup,
         op10_byte_bpe,
+        op11_backoff_lm,
         op12_hard_negatives,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
