@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import byte_bpe
+from quillmart.llm import byte_bpe, token_alignment
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def vocabulary() -> tuple[bytes, str]:
     )
 
 
+def aligned_models() -> tuple[bytes, bytes]:
+    """The byte-level BPE and the sentencepiece model whose tokens are aligned."""
+    import public_tokenizers
+
+    return tuple(token_alignment.read_model(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
 #: Domains of the labels table, and their shares of the tokens.
 TARGETS = {"clean": 0.88, "low": 0.08, "toxic": 0.04}
 

@@ -22,8 +22,9 @@ from quillmart.llm import (
     projected_search,
     quality,
     suffix_dedup,
+    token_alignment,
 )
-from quillmart.llm.production import TARGETS, domains, table, vocabulary
+from quillmart.llm.production import TARGETS, aligned_models, domains, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +120,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_alignment.inverted(table(spark, sf_dir, "documents"), *aligned_models())
+    return token_alignment.document_scores(index).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     operators = (
         op1_projected_search,
@@ -133,6 +139,7 @@ def queries() -> dict[str, Query]:
         op10_byte_bpe,
         op11_backoff_lm,
         op12_hard_negatives,
+        op13_token_alignment,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
