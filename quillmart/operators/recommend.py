@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from quillmart.operators.relations import (
     best_sellers_by_genre,
-    customer_frequent_genre,
-    lines_by_genre,
-    most_frequent_genre,
+    books_by_kind,
+    genre_kinds,
+    lines_by_kind,
+    most_frequent_kind,
     only_customer,
     sales_lines,
+    with_titles,
 )
+from quillmart.operators.salting import salted_join
 
 
 def preferred_genre(frequent_genre: DataFrame, customer_id: int | None = None) -> DataFrame:
@@ -41,21 +44,37 @@ def purchased_in_preferred_genre(
 ) -> DataFrame:
     """The lines each customer bought inside the favourite genre.
 
-    Both uses of the lines read one shuffle by book. The favourite is turned back into genre ids, so
-    that lines meet it by customer and genre id, without a title of their own.
+    Both uses of the lines read one shuffle by book. Lines meet the favourite by customer and the id of
+    the genre's title, without a title of their own.
     """
     bought = sales_lines(orders, order_details, customer_id, broadcast_orders, lines).select(
         "customer_id", "book_id"
     )
-    frequent = most_frequent_genre(lines_by_genre(bought, books), genre)
-    favourite = preferred_genre(frequent).join(genre, "genre_title")
+    kinds = genre_kinds(genre)
+    favourite = _favourite_kind(most_frequent_kind(lines_by_kind(bought, books, kinds)), kinds)
+    catalogue = books_by_kind(books.select("book_id", "genre_id", "title"), kinds)
     return (
-        bought.join(books.select("book_id", "genre_id", "title"), "book_id")
-        .join(favourite, ["customer_id", "genre_id"])
+        bought.join(catalogue, "book_id")
+        .join(favourite, ["customer_id", "kind_id"])
         .select("customer_id", "book_id", "title", "genre_title")
     )
 
 
+def _favourite_kind(winners: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``customer_id``, ``kind_id`` and ``genre_title`` of one favourite genre per customer."""
+    first = F.min(F.struct("genre_title", "kind_id")).alias("first")
+    known = with_titles(winners, kinds).filter(
+        F.col("customer_id").isNotNull() & F.col("genre_title").isNotNull()
+    )
+    return known.groupBy("customer_id").agg(first).select("customer_id", "first.*")
+
+
+def _offers(best: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Best sellers with the id of their genre's title."""
+    named = kinds.filter(F.col("genre_title").isNotNull()).select("genre_id", "kind_id")
+    return best.join(named, "genre_id")
+
+
 def preferred_genre_best_sellers(
     orders: DataFrame,
     order_details: DataFrame,
@@ -68,13 +87,12 @@ def preferred_genre_best_sellers(
 ) -> DataFrame:
     """Best sellers of the favourite genre, owned or not."""
     best = _best_sellers(best_sellers, order_details, books, genre)
-    frequent = customer_frequent_genre(
-        orders, order_details, books, genre, customer_id, broadcast_orders, lines
-    )
-    return (
-        preferred_genre(frequent)
-        .join(best, "genre_title")
-        .select("customer_id", "genre_title", "title", "book_id")
+    bought = sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
+    kinds = genre_kinds(genre)
+    favourite = _favourite_kind(most_frequent_kind(lines_by_kind(bought, books, kinds)), kinds)
+    offers = _offers(best, kinds).select("kind_id", "title", "book_id")
+    return salted_join(favourite, offers, "kind_id", "customer_id").select(
+        "customer_id", "genre_title", "title", "book_id"
     )
 
 
@@ -99,44 +117,57 @@ def recommend_books(
     customer the rows come best first.
     """
     best = _best_sellers(best_sellers, order_details, books, genre)
+    kinds = genre_kinds(genre)
     marks = best.select("genre_id", "book_id", F.col("book_id").alias("owned_book_id"))
     marked = books.select("book_id", "genre_id").join(marks, ["genre_id", "book_id"], "left")
     counts = (
         sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
         .filter(F.col("customer_id").isNotNull())
         .select("customer_id", "book_id")
-        .join(marked, "book_id")
-        .groupBy("customer_id", "genre_id", "owned_book_id")
+        .join(books_by_kind(marked, kinds).drop("genre_id"), "book_id")
+        .groupBy("customer_id", "kind_id", "owned_book_id")
         .agg(F.count("*").alias("lines"))
-        .join(genre, "genre_id")
     )
     # A customer has one row per genre and owned best seller, so sending the rows to the customer is
-    # safe, and it serves both windows.
-    in_genre = Window.partitionBy("customer_id", "genre_title")
-    by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"), "genre_title")
-    favourite = (
+    # safe, and it serves all windows.
+    in_genre = Window.partitionBy("customer_id", "kind_id")
+    by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"))
+    by_title = Window.partitionBy("customer_id").orderBy("genre_title")
+    winners = (
         counts.repartition("customer_id")
         .withColumn("genre_count", F.sum("lines").over(in_genre))
-        .withColumns({"rnk": F.rank().over(by_count), "place": F.row_number().over(by_count)})
+        .withColumn("rnk", F.rank().over(by_count))
         .filter(F.col("rnk") == 1)
-        .alias("favourite")
+        .select("customer_id", "kind_id", "owned_book_id")
     )
     # The first row of a customer brings the offers, every row a book owned, if it has one. A book
     # offered and not owned is recommended.
-    offer = best.select("genre_title", "book_id").alias("offer")
-    same_genre = F.col("offer.genre_title") == F.col("favourite.genre_title")
-    offered = F.struct("offer.book_id", F.lit(False).alias("owned"))
-    owned = F.struct(F.col("owned_book_id").alias("book_id"), F.lit(True).alias("owned"))
+    first = F.row_number().over(by_title) == 1
+    favourite = with_titles(winners, kinds).withColumn(
+        "offered_kind", F.when(first, F.col("kind_id"))
+    )
+    wanted = ("genre_title", "title", "total_book_sales")
+    offers = _offers(best, kinds).select(
+        F.col("kind_id").alias("offered_kind"), "book_id", F.struct(*wanted).alias("offer")
+    )
+    offered = F.struct("book_id", F.lit(False).alias("owned"), "offer")
+    owned = F.struct(
+        F.col("owned_book_id").alias("book_id"),
+        F.lit(True).alias("owned"),
+        F.lit(None).cast(offers.schema["offer"].dataType).alias("offer"),
+    )
     recommended = (
-        favourite.join(offer, same_genre & (F.col("place") == 1), "left")
+        salted_join(
+            favourite.select("customer_id", "offered_kind", "owned_book_id"),
+            offers, "offered_kind", "customer_id", "left",
+        )
         .select("customer_id", F.inline(F.array(offered, owned)))
         .filter(F.col("book_id").isNotNull())
         .groupBy("customer_id", "book_id")
-        .agg(F.bool_or("owned").alias("owned"))
+        .agg(F.bool_or("owned").alias("owned"), F.max("offer").alias("offer"))
         .filter(~F.col("owned"))
-        .join(best, "book_id")
-        .select("customer_id", "genre_title", "title", "book_id", "total_book_sales")
-    )
+        .select("customer_id", "offer.genre_title", "offer.title", "book_id", "offer.total_book_sales")
+    )
     if customer_id is None:
         return recommended
     return recommended.orderBy(F.desc("total_book_sales"), "title", "book_id")

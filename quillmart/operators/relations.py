@@ -5,8 +5,9 @@ publisher and ``customer_id`` in customer are unique. Titles and names are not.
 
 Dimension joins carry no broadcast hint, as dimensions grow with the data. Spark broadcasts a side
 when its file size, or under AQE its measured shuffle size, is below the configured threshold, and
-otherwise runs a sort-merge join whose hot partitions AQE splits. A genre's title meets the books or
-the counts, never the lines, which would be shuffled by a handful of genres.
+otherwise runs a sort-merge join whose hot partitions AQE splits. A genre's title meets the books, or
+the winners of a ranking in a salted join, never the lines or their counts, which would be shuffled by
+a handful of genres.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions import classify_average, classify_rating
+from quillmart.operators.salting import salted_join
 
 
 def only_customer(df: DataFrame, customer_id: int | None) -> DataFrame:
@@ -71,35 +73,51 @@ def customer_frequent_genre(
 ) -> DataFrame:
     """Genres bought most often by each customer, counted in lines; ties are kept."""
     bought = sales_lines(orders, order_details, customer_id, broadcast_orders, lines)
-    return most_frequent_genre(lines_by_genre(bought, books), genre)
+    kinds = genre_kinds(genre)
+    return with_titles(most_frequent_kind(lines_by_kind(bought, books, kinds)), kinds).select(
+        "customer_id", "genre_title", "genre_count"
+    )
+
+
+def genre_kinds(genre: DataFrame) -> DataFrame:
+    """Every genre with its ``kind_id``: the smallest id among the genres that share its title.
+
+    Ids of one title become one id while they are still in the catalogue, so that lines are counted and
+    counts are ranked without a title.
+    """
+    same_title = Window.partitionBy("genre_title")
+    return genre.select(
+        "genre_id", "genre_title", F.min("genre_id").over(same_title).alias("kind_id")
+    )
+
 
+def books_by_kind(books: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``books`` of a known genre with their ``kind_id``, not gathered by their few genres."""
+    return salted_join(books, kinds.select("genre_id", "kind_id"), "genre_id", "book_id")
 
-def lines_by_genre(lines: DataFrame, books: DataFrame) -> DataFrame:
-    """``customer_id``, ``book_id`` and ``genre_id`` of every line of a known book."""
+
+def lines_by_kind(lines: DataFrame, books: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``customer_id``, ``book_id`` and ``kind_id`` of every line of a known book."""
+    catalogue = books_by_kind(books.select("book_id", "genre_id"), kinds)
     return lines.select("customer_id", "book_id").join(
-        books.select("book_id", "genre_id"), "book_id"
+        catalogue.select("book_id", "kind_id"), "book_id"
     )
 
 
-def most_frequent_genre(purchases: DataFrame, genre: DataFrame) -> DataFrame:
-    """``customer_frequent_genre`` from lines that carry ``customer_id`` and ``genre_id``.
+def most_frequent_kind(purchases: DataFrame) -> DataFrame:
+    """``customer_id``, ``kind_id`` and ``genre_count`` of the genres bought most often, ties kept.
 
-    Lines are counted by genre id; titles join the counts. Genres may share a title, hence the second
-    sum. The window's groups hold at most one row per title however many lines a customer has.
+    The window's groups hold at most one row per title however many lines a customer has.
     """
-    counts = (
-        purchases.groupBy("customer_id", "genre_id")
-        .agg(F.count("*").alias("lines"))
-        .join(genre, "genre_id")
-        .groupBy("customer_id", "genre_title")
-        .agg(F.sum("lines").alias("genre_count"))
-    )
+    counts = purchases.groupBy("customer_id", "kind_id").agg(F.count("*").alias("genre_count"))
     by_count = Window.partitionBy("customer_id").orderBy(F.desc("genre_count"))
-    return (
-        counts.withColumn("rnk", F.rank().over(by_count))
-        .filter(F.col("rnk") == 1)
-        .select("customer_id", "genre_title", "genre_count")
-    )
+    return counts.withColumn("rnk", F.rank().over(by_count)).filter(F.col("rnk") == 1).drop("rnk")
+
+
+def with_titles(winners: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows of customers with the ``genre_title`` of their ``kind_id``."""
+    titles = kinds.filter(F.col("genre_id") == F.col("kind_id")).select("kind_id", "genre_title")
+    return salted_join(winners, titles, "kind_id", "customer_id")
 
 
 def book_sales(lines: DataFrame) -> DataFrame:

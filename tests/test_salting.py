@@ -1,0 +1,84 @@
+"""Joins by few keys: results equal to a plain join, and rows of one key in many tasks."""
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from test_scale import NO_BROADCAST, _final_plan, _purchases, conf, skewed  # noqa: F401
+
+from quillmart.operators import recommend, relations
+from quillmart.operators.salting import salted_join, salts
+
+
+@pytest.fixture
+def sides(spark):
+    many = spark.createDataFrame(
+        [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(200)] + [(None, "hot"), (999, None), (998, "gone")],
+        "who long, key string",
+    )
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("k3", 4), (None, 5), ("unused", 6)], "key string, x int")
+    return many, few
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("n", [1, 3, 64])
+def test_same_rows_as_a_plain_join(sides, how, n):
+    many, few = sides
+    got = salted_join(many, few, "key", "who", how, n)
+    expected = many.join(few, "key", how)
+    assert got.columns == expected.columns
+    assert sorted(rows(got), key=repr) == sorted(rows(expected), key=repr)
+
+
+def test_other_joins_are_refused(sides):
+    with pytest.raises(ValueError, match="copied side"):
+        salted_join(*sides, "key", "who", "full")
+
+
+def test_rows_of_one_key_go_to_many_tasks(spark, conf):  # noqa: F811
+    conf(NO_BROADCAST | {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"})
+    many = spark.range(20_000).select(F.col("id").alias("who"), F.lit("hot").alias("key"))
+    few = spark.createDataFrame([("hot", 1)], "key string, x int")
+    joined = salted_join(many, few, "key", "who").groupBy(F.spark_partition_id().alias("task")).count()
+    sizes = [r["count"] for r in joined.collect()]
+    assert salts(spark) == 16 and len(sizes) >= 6 and max(sizes) < 20_000 / 2
+    assert sum(sizes) == 20_000
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        relations.customer_frequent_genre, recommend.purchased_in_preferred_genre,
+        recommend.preferred_genre_best_sellers, recommend.recommend_books,
+    ],
+)
+def test_customers_are_not_shuffled_by_genre_alone(skewed, conf, operator):  # noqa: F811
+    expected = sorted(rows(operator(*_purchases(skewed))), key=repr)
+    conf(NO_BROADCAST)
+    df = operator(*_purchases(skewed))
+    plan = _final_plan(df)
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        keys = line.split("Exchange hashpartitioning(")[-1].split(", ")
+        few = ("genre_title", "genre_id", "kind_id", "offered_kind")
+        if "Exchange hashpartitioning(" in line and keys[0].split("#")[0] in few:
+            alone = not any(k.startswith(("salt", "customer_id", "book_id", "total_book_sales")) for k in keys[1:-1])
+            below = "".join(lines[i + 1 : i + 3])
+            # Counts of best sellers are combined by genre before; dimensions may go by their id.
+            assert not alone or "customer_id" not in below
+    assert "hashpartitioning(kind_id" in plan and "salt" in plan
+    assert sorted(rows(df), key=repr) == expected != []
+
+
+def test_genres_of_one_title_are_one_genre(spark, shop):
+    genre = spark.createDataFrame([(1, "Fantasy"), (2, "History"), (3, "Fantasy"), (4, None), (5, None)], "genre_id int, genre_title string")
+    kinds = {r["genre_id"]: r["kind_id"] for r in relations.genre_kinds(genre).collect()}
+    assert kinds == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+    books = shop.books.withColumn("genre_id", F.when(F.col("book_id") == 3, 3).otherwise(F.col("genre_id")))
+    got = relations.customer_frequent_genre(shop.orders, shop.order_details, books, genre)
+    plain = (
+        shop.orders.join(shop.order_details, "order_id").join(books, "book_id").join(genre, "genre_id")
+        .groupBy("customer_id", "genre_title").count()
+    )
+    most = plain.groupBy("customer_id").agg(F.max("count").alias("count"))
+    expected = plain.join(most, ["customer_id", "count"]).select("customer_id", "genre_title", "count")
+    assert sorted(rows(got)) == sorted(rows(expected))
