@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.schemas import SALES_YEAR
@@ -34,8 +34,8 @@ def write_bucketed(
     buckets, every operator over sales lines joins them without a shuffle. The rows are sent to
     their bucket first, so that there is one file per bucket and not one per task and bucket.
 
-    A bucket is read by one task and is not split by AQE: leave a table unbucketed when one order
-    holds a large part of its lines.
+    A bucket is read by one task and is not split by AQE: where one order may hold a large part of the
+    lines, write both tables with ``write_bucketed_sales``.
     """
     writer = (
         df.repartition(buckets, key)
@@ -49,6 +49,65 @@ def write_bucketed(
     writer.saveAsTable(table)
 
 
+def heavy_keys(df: DataFrame, key: str, most_rows: int) -> DataFrame:
+    """Keys with more than ``most_rows`` rows: fewer than rows / ``most_rows``. Counted on the map side first."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.filter(F.col(key).isNotNull() & (F.col("n") > most_rows)).select(key)
+
+
+def write_bucketed_sales(
+    orders: DataFrame,
+    order_details: DataFrame,
+    database: str,
+    buckets: int,
+    heavy_rows: int,
+    path: str | None = None,
+    mode: str = "errorifexists",
+) -> None:
+    """Write orders and lines into ``database`` so that their join needs no shuffle and no task is hot.
+
+    Orders of at most ``heavy_rows`` lines go to ``orders`` and ``order_details``, bucketed by
+    ``order_id``. A heavier order would fill the one task that reads its bucket: its lines go to
+    ``heavy_details``, in files of as many rows as tasks wrote, and its row to ``heavy_orders``, which has
+    fewer than lines / ``heavy_rows`` rows. ``read_bucketed_sales`` puts both together again. Lines of
+    orders that do not exist are kept like others; orders without lines stay with the light ones.
+
+    The heavy keys are written first, so that both splits read one list of them.
+    """
+    spark = orders.sparkSession
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        writer = df.write.mode(mode).format("parquet")
+        if path is not None:
+            writer = writer.option("path", f"{path.rstrip('/')}/{name}")
+        writer.saveAsTable(f"{database}.{name}")
+        return spark.table(f"{database}.{name}")
+
+    def bucketed(df: DataFrame, name: str) -> None:
+        folder = None if path is None else f"{path.rstrip('/')}/{name}"
+        write_bucketed(df, f"{database}.{name}", "order_id", buckets, folder, mode)
+
+    heavy = save(heavy_keys(order_details, "order_id", heavy_rows), "heavy_order_ids")
+    bucketed(orders.join(heavy, "order_id", "left_anti"), "orders")
+    bucketed(order_details.join(heavy, "order_id", "left_anti"), "order_details")
+    save(orders.join(heavy, "order_id", "left_semi"), "heavy_orders")
+    save(order_details.join(heavy, "order_id", "left_semi"), "heavy_details")
+
+
+def read_bucketed_sales(spark: SparkSession, database: str) -> DataFrame:
+    """Order lines with the columns of their order, from tables of ``write_bucketed_sales``.
+
+    The light lines are joined bucket by bucket. The heavy ones meet the few heavy orders by a broadcast
+    where Spark finds these small enough, else by a join of which AQE splits hot partitions. Operators
+    over sales take the result as ``lines=``.
+    """
+
+    def joined(details: str, orders: str) -> DataFrame:
+        return spark.table(f"{database}.{details}").join(spark.table(f"{database}.{orders}"), "order_id")
+
+    return joined("order_details", "orders").unionByName(joined("heavy_details", "heavy_orders"))
+
+
 def write_sales_lines(
     orders: DataFrame, order_details: DataFrame, path: str, mode: str = "errorifexists"
 ) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillmart import schemas
+from quillmart.sources.key_ranges import key_quantiles, quantile_predicates
 
 
 FACTS = ("orders", "order_details", "reviews")
@@ -85,19 +86,24 @@ def load_star_jdbc(
     url: str,
     properties: dict[str, str],
     bounds: dict[str, tuple[str, int, int, int]],
+    predicates: dict[str, list[str]] | None = None,
 ) -> StarTables:
     """Load the star from a database.
 
     ``bounds`` gives (key column, lowest key, highest key, partitions) for each table to be read by
-    several tasks. The keys outside the bounds are read too, by the first and last of them. A table
-    without an entry is read by one task; the fact tables have to have one. The driver for the
-    database has to be on Spark's class path.
+    several tasks. The keys outside the bounds are read too, by the first and last of them.
+    ``predicates`` gives, instead, a condition for every task; those of ``quantile_predicates`` hold
+    equal numbers of rows where keys are not evenly used. A table without either is read by one task;
+    the fact tables have to have one. The driver for the database has to be on Spark's class path.
     """
-    missing = [name for name in FACTS if name not in bounds]
+    predicates = predicates or {}
+    missing = [name for name in FACTS if name not in bounds and name not in predicates]
     if missing:
         raise ValueError(f"bounds are missing for {missing}, which one task cannot read")
 
     def read(name: str) -> DataFrame:
+        if name in predicates:
+            return spark.read.jdbc(url, name, predicates=predicates[name], properties=properties)
         if name not in bounds:
             return spark.read.jdbc(url, name, properties=properties)
         column, lower, upper, partitions = bounds[name]
@@ -114,5 +120,25 @@ def load_star_jdbc(
     return _load(read)
 
 
+def skewed_predicates(
+    spark: SparkSession,
+    url: str,
+    properties: dict[str, str],
+    table: str,
+    bounds: tuple[str, int, int, int],
+    parts: int,
+    deal_by: str | None = None,
+) -> list[str]:
+    """Conditions for ``predicates`` of ``load_star_jdbc``, from the quantiles of a table's keys.
+
+    Only the key column is read for them, in the even ranges of ``bounds``.
+    """
+    column, lower, upper, partitions = bounds
+    keys = spark.read.jdbc(
+        url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=properties
+    ).select(column)
+    return quantile_predicates(column, key_quantiles(keys, column, parts), deal_by)
+
+
 def _load(read) -> StarTables:
     return StarTables(**{name: conform_table(name, read(name)) for name in schemas.TABLES})
