@@ -6,9 +6,11 @@ those rows: shards of the sample are trained in parallel and their weights avera
 on the part of the sample kept out of training turns the scores into probabilities.
 
 Defined results: a text that is NULL or has no letter gets ``und`` with score 0, and an empty text is such
-a text. Without any row to learn from every text gets ``und``. Rows with a NULL label or a NULL text are
-not learned from. Repeated rows get equal results. Only the id and the text are read, so other columns
-cannot clash.
+a text. Texts of any length are read whole, half a million characters at a time. Of languages of equal
+probability the first by name is told. Without any row to learn from every text gets ``und``, and ``accepted``
+keeps every text with a letter. Rows with a NULL label or a NULL text are not learned from; a row that is
+repeated is learned from once. Repeated rows get equal results. An empty table gives an empty one. Only the id
+and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -162,13 +164,25 @@ def fit(
         return None
     idf = 10 * np.log((1 + n) / (1 + df))
     order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
-    # The texts of the rows with the smallest hashes: the hashes are cut off first, without the texts.
+    # The rows with the smallest hashes. These are cut off first, without the texts; a row that is repeated
+    # counts once, so that no more rows than hashes are left.
     first = rows.select(order.alias("at")).orderBy("at").limit(s.sample_rows)
     last = first.agg(F.max("at")).first()[0]
+    chosen = rows.withColumn("at", order).filter(F.col("at") <= last).groupBy("at", "label").agg(F.min("text").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts become sparse rows where they are; no text leaves its task."""
+        for batch in (part for batch in batches for part in slices(batch, 2)):
+            found = [sparse([t], s.bits, idf)[0] for t in batch.column(2).to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(at) for at, _ in found)], dtype=np.int32))
+            columns = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (0, 1))
+            at, x = (pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in zip(columns, (pa.int32(), pa.float64()), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], at, x], names=["at", "label", "features", "x"])
+
     sample = stored(
-        rows.withColumn("at", order).filter(F.col("at") <= last).select("text", "label", "at")
-        .orderBy("at", "label").limit(s.sample_rows), "sample",
-    )
+        chosen.select("at", "label", "text").mapInArrow(features, "at long, label string, features array<int>, x array<double>"),
+        "sample",
+    )
     labels = tuple(sorted(r["label"] for r in sample.select("label").distinct().collect()))
     # A tenth of the sample is kept for the temperature.
     parts = sample.withColumn("shard", F.pmod("at", F.lit(10))).withColumn(
@@ -176,9 +190,9 @@ def fit(
     )
 
     def train(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["at", "label", "text"])
+        shard = shard.sort_values(["at", "label"])
         y = np.array([labels.index(v) for v in shard["label"]])
-        held = [sparse([t], s.bits, idf)[0] for t in shard["text"]]
+        held = [(np.asarray(at, np.int64), np.asarray(x)) for at, x in zip(shard["features"], shard["x"], strict=True)]
         w = follow_the_leader(held, y, len(labels), s)
         at = np.flatnonzero(np.abs(w).sum(1))
         return pd.DataFrame({"feature": at, "w": list(w[at]), "rows": len(y)})
@@ -192,10 +206,19 @@ def fit(
         total += part["rows"] if part["feature"] == 1 << s.bits else 0
     weights /= max(1, total)
     model = LanguageModel(labels, weights[:-1] * idf[:, None], weights[-1], 1.0, s.bits)
-    kept = parts.filter("shard < 0").select("text", "label").collect()  # a tenth of the sample
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Logits of sparse rows, whose values have the inverse document frequency in them."""
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            logits = [(weights[-1] + np.asarray(x) @ weights[at]).tolist() if at else weights[-1].tolist() for at, x in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logits, pa.list_(pa.float64()))], names=["label", "logits"])
+
+    scored = parts.filter("shard < 0").select("label", "features", "x").mapInArrow(score, "label string, logits array<double>")
+    kept = scored.collect()  # a tenth of the sample: a label and a few numbers each
     if not kept or len(labels) < 2:
         return model
-    logits, y = model.logits([r["text"] for r in kept]), [labels.index(r["label"]) for r in kept]
+    logits, y = np.array([r["logits"] for r in kept]), [labels.index(r["label"]) for r in kept]
     return LanguageModel(labels, model.weights, model.bias, temperature(logits, np.array(y)), s.bits)
 
 
@@ -236,15 +259,20 @@ def predict(
 def accepted(
     docs: DataFrame, model: LanguageModel | None, min_score: float, text_col: str = "text"
 ) -> DataFrame:
-    """Rows of ``docs`` whose language is told with at least this score; texts without a letter go."""
+    """Rows of ``docs`` whose language is told with at least this score; texts without a letter go.
+
+    Without a model no language can be rejected: all texts with a letter stay.
+    """
     at = docs.columns.index(text_col)
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch, at)):
             texts = batch.column(at).to_pylist()
-            told = [i for i, t in enumerate(texts) if model and grams.has_letter(t)]
-            if told:
+            told = [i for i, t in enumerate(texts) if grams.has_letter(t)]
+            if told and model is None:
+                yield batch.take(pa.array(told, pa.int64()))
+            elif told:
                 score = model.probabilities([texts[i] for i in told]).max(1)
                 yield batch.take(pa.array([i for i, x in zip(told, score, strict=True) if x >= min_score], pa.int64()))
 

@@ -39,6 +39,16 @@ def test_without_rows_to_learn_from_nothing_is_told(spark):
     assert language_id.fit(no_documents(spark), F.lit(True)) is None
     got = rows(language_id.predict(documents(spark), None))
     assert {r[1:] for r in got} == {("und", 0.0)}
+    kept = language_id.accepted(documents(spark), None, 0.5)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 6, 7, 7, 9, 10]
+
+
+def test_a_repeated_row_is_learned_from_once(spark):
+    texts = [(i, f"the small engine reads {i} lines", "en") for i in range(40)] + [(100 + i, f"le petit moteur lit {i} lignes", "fr") for i in range(40)]
+    docs = spark.createDataFrame(texts + texts[:1] * 500, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), settings=language_id.Settings(sample_rows=60))
+    told = language_id.predict(docs, model).join(docs.select("doc_id", "lang").distinct(), "doc_id")
+    assert told.filter("lang_pred = lang").count() >= 0.95 * docs.count()
 
 
 def test_accepted_rows_keep_all_columns(spark, model):
