@@ -6,22 +6,25 @@ each domain's evidence is fitted on labelled documents kept out of the counts. E
 between 0 and ``most``: how often it is to be taken. The rates are found by projected gradient descent on the
 squared gaps between the tokens expected of each domain and its target, in shares of all tokens, with a small
 pull towards a rate of 1. A document's slope is the sum of the gaps weighted by its posteriors; the gaps are
-scaled by their curvature over the rates that are not at a bound, and the steps are summed up before they are
+scaled by their curvature over the rates that a step may move, damped where a step goes too far, and the steps are summed up before they are
 projected, so that a few numbers describe all rates. Documents are summed up by posteriors rounded to a grid
 before the descent, and every step is one aggregation of those sums.
 
 The total, unless given, is what keeps the domain of the largest weight whole. Copies are the rate rounded up
 or down by a hash of the document, so that their expectation is the rate.
 
-Defined results: a NULL or empty text has no tokens and the prior as its posteriors. Labels of other domains,
-NULL labels and labels without a document teach nothing; without any label all posteriors are equal. Without
-any token every rate is 1 as far as ``most`` allows. Rows that repeat an id and a text get equal results. Other
-columns are carried whatever their names.
+Defined results: a NULL or empty text has no tokens and the prior as its posteriors; texts of any length are read
+whole. Labels of other domains, NULL labels and labels without a document teach nothing, and of several labels of
+an id the first by name counts; without any label all posteriors are equal. Equal gaps and equal posteriors give
+equal rates, so there are no ties to break. Without any token every rate is 1 as far as ``most`` allows. Every row
+has a result, and rows that repeat an id and a text get equal ones. An empty table gives an empty one. Other
+columns are carried whatever their names. Where targets cannot be met, ``totals`` tells what is reached.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +41,12 @@ class Settings:
     buckets: int = 1 << 18  # of hashed words; bounds what is broadcast
     sample_rows: int = 20_000  # most labelled documents that are learned from
     smoothing: float = 1.0
-    deviations: float = 8.0  # from which on a bucket tells a domain apart
+    deviations: float = 4.0  # at which a bucket's weight counts half
     grid: int = 128  # steps of a posterior
     sweeps: int = 2  # over the domains
     pull: float = 1e-4
     steps: int = 40
-    tolerance: float = 1e-5  # of all tokens
+    tolerance: float = 1e-8  # of all tokens
     sharpness: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)
 
 
@@ -73,9 +76,10 @@ def mix(
     text_col: str = "text",
     settings: Settings | None = None,
 ) -> DataFrame:
-    """One row per document: ``id``, ``same``, ``n_tokens``, ``posteriors``, ``rate`` and ``copies``.
+    """One row per row of ``docs``: ``id``, ``same``, ``n_tokens``, ``posteriors``, ``rate`` and ``copies``.
 
-    ``labelled`` has columns ``id`` and ``domain``, ``targets`` the weight of every domain.
+    ``labelled`` has columns ``id`` and ``domain``, ``targets`` the weight of every domain. ``same`` is the hash
+    of the text; rows that repeat an id and a text get equal results.
     """
     s = settings or Settings()
     domains = sorted(targets)
@@ -90,9 +94,25 @@ def mix(
     rates = _rates(with_cell, weight, total_tokens, most, s)
     joined = with_cell.join(rates, "cell")
     chance = (F.pmod(F.xxhash64("id", "same", F.lit("copies")), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    return joined.select(
-        "id", "same", "n_tokens", "posteriors", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies")
-    )
+    copies = F.floor(F.col("rate") + chance).cast("int").alias("copies")
+    found = joined.select(F.col("id").alias("of"), F.col("same").alias("of_same"), "n_tokens", "posteriors", "rate", copies)
+    rows = docs.select(*_key(id_col, text_col))
+    every = rows.join(found, rows["id"].eqNullSafe(found["of"]) & rows["same"].eqNullSafe(found["of_same"]))
+    return every.select("id", "same", "n_tokens", "posteriors", "rate", "copies")
+
+
+def totals(mixed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """A row for each domain: ``domain``, its ``target`` share of the tokens, and the share ``reached`` in expectation."""
+    domains = sorted(targets)
+    weight = sum(targets.values())
+    tokens = [F.sum(F.col("n_tokens") * F.col("rate") * F.col("posteriors")[j]) for j in range(len(domains))]
+    sums = mixed.agg(F.array(*tokens).alias("tokens"))
+    each = (
+        F.struct(F.lit(d).alias("domain"), F.lit(targets[d] / weight).alias("target"),
+                 F.try_divide(F.col("tokens")[j], F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x)).alias("reached"))
+        for j, d in enumerate(domains)
+    )
+    return sums.select(F.inline(F.array(*each)))
 
 
 def _sample(labelled: DataFrame, domains: list[str], s: Settings) -> DataFrame:
@@ -109,9 +129,10 @@ def _sample(labelled: DataFrame, domains: list[str], s: Settings) -> DataFrame:
 def _weights(texts: DataFrame, known: DataFrame, domains: list[str], s: Settings) -> DataFrame:
     """What the presence of a bucket adds to the log likelihood ratios: ``bucket``, ``w0``, ``w1``, ...
 
-    A bucket counts the documents it is in. It tells a domain apart when that number is ``deviations``
-    standard deviations from what all documents lead to expect; all other weights are 0. The row of
-    bucket -1 holds what the absence of all buckets adds.
+    A bucket counts the documents it is in. The surer it is that this number differs from what all documents
+    lead to expect, the more of its weight is left: of one that is ``deviations`` standard deviations away half,
+    of one nearer little, at any size of the sample. The row of bucket -1 holds what the absence of all
+    buckets adds.
     """
     # The sample is bounded, and so is what is broadcast.
     taught = texts.join(F.broadcast(known.filter(~F.col("kept")).select("id", "domain")), "id")
@@ -129,12 +150,9 @@ def _weights(texts: DataFrame, known: DataFrame, domains: list[str], s: Settings
         own = (F.col(f"n{j}") + s.smoothing * (every + 1) / (n_docs + 2)) / (n.get(d, 0) + s.smoothing)
         any_ = (every + s.smoothing) / (n_docs + 2 * s.smoothing)
         own, any_ = (F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6)) for x in (own, any_))
-        told = (F.abs(z) >= s.deviations) & (F.lit(share) > 0)
+        sure = z * z * z * z / (z * z * z * z + s.deviations**4) * (1.0 if share else 0.0)
         absent = F.log(1 - own) - F.log(1 - any_)
-        weights += [
-            F.when(told, F.log(own) - F.log(any_) - absent).otherwise(0.0).alias(f"w{j}"),
-            F.when(told, absent).otherwise(0.0).alias(f"a{j}"),
-        ]
+        weights += [((F.log(own) - F.log(any_) - absent) * sure).alias(f"w{j}"), (absent * sure).alias(f"a{j}")]
     some = F.greatest(*(F.abs(F.col(f"w{j}")) for j in range(len(domains))), F.lit(0.0)) > 0
     told = by_bucket.select("bucket", *weights).filter(some)
     names = [f"w{j}" for j in range(len(domains))]
@@ -210,39 +228,51 @@ def _rates(members: DataFrame, weight: list[float], total: float | None, most: f
     goal = total if total is not None else sums[1 + largest] / weight[largest]
     target = np.array(weight) * goal / everything
     # All steps add up to one point in the space of domains; a cell's rate is its projection.
-    at, best = np.zeros(len(weight)), math.inf
-    step = np.zeros(len(weight))
-    for _ in range(s.steps):
-        rate = _rate(at + step, most)
-        inside = (rate > 0) if most is None else (rate > 0) & (rate < most)
+
+    def measured(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes at a point, and their curvature over the cells that a step may move."""
+        rate, moved = _rate(at, most), _moved(at)
+        inside = (moved >= 0) if most is None else (moved >= 0) & (moved <= most)
         products = [
             F.sum(F.when(inside, F.col("tokens") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0))
             for i in domains for j in domains
         ]
         got = cells.agg(*(F.sum(F.col("tokens") * F.col("p")[j] * rate) for j in domains), *products).first()
         found = np.array(got, float) / everything
-        slope = found[: len(weight)] - target - s.pull * (at + step)
-        if np.abs(slope).max() >= best:  # too far
-            step /= 2
-            continue
-        at, best = at + step, np.abs(slope).max()
-        if best <= s.tolerance:
-            break
         curve = found[len(weight) :].reshape(len(weight), -1) + s.pull * np.eye(len(weight))
-        step = np.linalg.solve(curve, slope)
+        return found[: len(weight)] - target - s.pull * at, curve
+
+    at, damping = np.zeros(len(weight)), 1e-3
+    slope, curve = measured(at)
+    whole = curve
+    for _ in range(s.steps):
+        if np.abs(slope).max() <= s.tolerance:
+            break
+        step = np.linalg.solve(curve + damping * whole, slope)
+        further, after = measured(at + step)
+        if np.linalg.norm(further) > np.linalg.norm(slope) * (1 + 1e-9):  # too far
+            damping *= 8
+            continue
+        at, slope, curve, damping = at + step, further, after, max(damping / 8, 1e-9)
+    else:
+        warnings.warn(f"after {s.steps} steps the slopes are {np.abs(slope).max():.2g} of all tokens", stacklevel=3)
     return cells.select("cell", _rate(at, most).alias("rate"))
 
 
+def _moved(at: np.ndarray) -> Column:
+    """1 less the steps a cell's posteriors take part in."""
+    return F.lit(1.0) - sum((F.col("p")[j] * float(x) for j, x in enumerate(at)), F.lit(0.0))
+
+
 def _rate(at: np.ndarray, most: float | None) -> Column:
-    """1 less the steps a cell's posteriors take part in, projected to what a rate may be."""
-    moved = sum((F.col("p")[j] * float(x) for j, x in enumerate(at)), F.lit(0.0))
-    rate = F.greatest(F.lit(1.0) - moved, F.lit(0.0))
+    """The moved rate, projected to what a rate may be."""
+    rate = F.greatest(_moved(at), F.lit(0.0))
     return rate if most is None else F.least(rate, F.lit(float(most)))
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, each as often as ``mixed`` says."""
-    some = mixed.filter("copies > 0").select(F.col("id").alias("of"), F.col("same").alias("of_same"), "copies")
+    some = mixed.filter("copies > 0").select(F.col("id").alias("of"), F.col("same").alias("of_same"), "copies").distinct()
     rows = docs.select(*_key(id_col, text_col), F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
     joined = rows.join(some, rows["id"].eqNullSafe(some["of"]) & (rows["same"] == some["of_same"]))
     often = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n"))

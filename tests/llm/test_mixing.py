@@ -7,6 +7,7 @@ from corpus import documents, no_documents, random_words
 from pyspark.sql import functions as F
 
 from quillmart.llm import mixing
+from quillmart.llm.production import TARGETS, domains
 
 DOMAINS = ["code", "news", "poem"]
 
@@ -38,12 +39,14 @@ def shares(mixed, column="rate"):
 
 
 def plain_rates(p, n, target, pull, most=np.inf):
-    """Projected gradient descent on all rates, step by step."""
+    """Projected gradient descent on all rates, step by step, until it stands still."""
     n = n / n.sum()
     rate = np.minimum(np.ones(len(p)), most)
-    for _ in range(30_000):
+    for _ in range(400_000):
         gaps = (n * rate) @ p - target
-        rate = np.clip(rate - 0.5 * (p @ gaps + pull * (rate - 1)), 0, most)
+        before, rate = rate, np.clip(rate - 0.5 * (p @ gaps + pull * (rate - 1)), 0, most)
+        if np.abs(rate - before).max() < 1e-9:
+            break
     return rate
 
 
@@ -97,6 +100,30 @@ def test_awkward_rows(spark):
     assert taken.columns == docs.columns and taken.count() == 12
 
 
+def test_small_corpora_are_learned_from(spark):
+    """Labelled documents of the smallest tables belong to their domain more than others do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    mixed = mixing.mix(docs, labels, TARGETS)
+    assert mixed.count() == docs.count() and mixed.select("posteriors").distinct().count() > 100
+    names = sorted(TARGETS)
+    rows_ = mixed.join(labels, "id").select("domain", "posteriors").collect()
+    for j, d in enumerate(names):
+        own = np.mean([r["posteriors"][j] for r in rows_ if r["domain"] == d])
+        other = np.mean([r["posteriors"][j] for r in rows_ if r["domain"] not in (d, None)])
+        assert own > 2 * other, (d, own, other)
+    for r in mixing.totals(mixed, TARGETS).collect():
+        assert abs(r["reached"] - r["target"]) < 0.02, r
+
+
+def test_every_row_has_a_result(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 3 + [(None, "c")] * 2 + [(1, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "code")], "id long, domain string")
+    mixed = mixing.mix(docs, labels, dict.fromkeys(DOMAINS, 1.0), most=1.0)
+    assert sorted((r["id"] or 0, r["n_tokens"]) for r in mixed.collect()) == [(0, 1), (0, 1), (1, 1), (1, 2), (1, 2), (1, 2)]
+    assert mixing.take(docs, mixed.withColumn("copies", F.lit(2))).count() == 12
+
+
 def test_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "id long, domain string")
     got = mixing.mix(documents(spark), labels, dict.fromkeys(DOMAINS, 1.0)).collect()
