@@ -19,13 +19,15 @@ def within_one_edit(a, b):
     return a[i + 1 :] == b[i + (len(a) == len(b)) :]
 
 
-def plain(docs, min_chars=16):
+def plain(docs, min_chars=16, short_repeats=False):
     """Texts without the lines that come earlier, every line compared with every other."""
-    first = {}
+    first, seen = {}, {}
     for i in sorted(docs):
         for n, line in enumerate(docs[i].split("\n")):
             if len(line) >= min_chars:
                 first.setdefault(line, (i, n))
+            elif short_repeats and line.strip(" \t\n\x0b\x0c\r"):
+                seen.setdefault(line, (i, n))
     by_length = defaultdict(list)
     for line in first:
         by_length[len(line)].append(line)
@@ -40,7 +42,7 @@ def plain(docs, min_chars=16):
         i: "\n".join(
             line
             for n, line in enumerate(text.split("\n"))
-            if len(line) < min_chars or (first[line] == (i, n) and line not in gone)
+            if seen.get(line, (i, n)) == (i, n) and (len(line) < min_chars or (first[line] == (i, n) and line not in gone))
         )
         for i, text in docs.items()
     }
