@@ -19,30 +19,46 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, or too unlike any language, go."""
+    """Documents whose language is told; those without a letter, or too unlike any language, go.
+
+    NULL texts go, repeated rows fare alike, an empty table stays empty. Without any label all with a letter stay.
+    """
     model = language_id.fit(docs, F.lit(True))
     return language_id.accepted(docs, model, MIN_LANGUAGE_SCORE)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that come earlier, also within one edit; those left without a word go."""
-    left = line_dedup.dedup(docs).filter(F.col("text").rlike(r"\S"))
+    """Documents without lines that come earlier, long ones also within one edit; those left without a word go.
+
+    NULL texts go, rows that repeat an id and a text get equal texts, an empty table stays empty.
+    """
+    left = line_dedup.dedup(docs, short_repeats=True).filter(F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies."""
+    """The document of smallest id of each class of near copies.
+
+    Of rows that repeat an id and a text one stays; rows without an id stay, as do NULL texts. An empty table stays
+    empty.
+    """
     return order_minhash.one_of_each(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken by their rates, none more than once."""
+    """Documents taken by their rates, none more than once.
+
+    NULL texts have no tokens and the rate of the prior; repeated rows fare alike; an empty table stays empty.
+    """
     mixed = mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0)
     return mixing.take(docs, mixed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text.
+
+    A NULL text has no ids; repeated rows get equal ids; an empty table stays empty.
+    """
     coded = byte_bpe.encode_documents(docs, *vocabulary())
     return coded.select(
         "doc_id",
