@@ -24,6 +24,7 @@ table gives an empty result. Only id and text are read, so other columns cannot
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 from quillmart.llm.common import quoted, slices, stored
 
 CUT = re.compile(r"(?<=\S)(?= )")
+UNCUT = re.compile(r"\s ")
 BLANK = "▁"  # stands for a space in B's pieces
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 MOST_DOCUMENTS = 1 << 15  # of a chunk; their numbers take two bytes
 MOST_PAIRS = 1 << 22  # expanded at a time
 MOST_UNITS = 1 << 15  # tokenized at a time
+ID_BITS = 20  # of a token's id
+LOW = (1 << ID_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -79,14 +83,16 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of_character = byte_characters()
         entries = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             known = all(c in of_character for c in entry)
-            self.a_bytes[i] = bytes(of_character[c] for c in entry) if known else entry.encode()
+            a_bytes[i] = bytes(of_character[c] for c in entry) if known else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(BLANK, " ").encode() for p in pieces
-        ]
+        b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(BLANK, " ").encode() for p in pieces]
+        # Bytes of every id, and their lengths.
+        self.a_bytes, self.b_bytes = ((table, np.array([len(x) for x in table], np.int64)) for table in (a_bytes, b_bytes))
+        if max(len(a_bytes), len(b_bytes)) > 1 << ID_BITS:
+            raise ValueError(f"ids of more than {ID_BITS} bits")
         # Blanks cut what either tokenizer joins only if A splits at them and no piece of B has one inside.
         split = json.loads(a)
         at_blanks = split.get("normalizer") is None and (split.get("pre_tokenizer") or {}).get("use_regex", False)
@@ -96,34 +102,48 @@ class Tokenizers:
     def units(self, text: str) -> list[str]:
         """Space and text, in parts that begin with a space."""
         whole = " " + text
-        return CUT.split(whole) if self.cuts else [whole]
+        if not self.cuts:
+            return [whole]
+        # Without white space before a blank, every blank is a cut.
+        return CUT.split(whole) if UNCUT.search(whole) else [" " + p for p in text.split(" ")]
+
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of A and of B, side by side, their numbers for each part, and the bytes of the parts.
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B, none for a part that either does not give back byte by byte."""
+        A part that either tokenizer does not give back byte by byte has none.
+        """
         a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
         # B adds the first space itself, but not to nothing.
         b = self.b.encode([u[1:] for u in units], num_threads=1)
         b = [[self.blank] if u == " " else ids for u, ids in zip(units, b, strict=True)]
-        for i, u in enumerate(units):
-            raw = u.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[i])) != raw or b"".join(map(self.b_bytes.__getitem__, b[i])) != raw:
-                a[i], b[i] = [], []
-        return a, b
+        raw = [u.encode() for u in units]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = [(*_flat(ids), table, lengths) for ids, table, lengths in ((a, *self.a_bytes), (b, *self.b_bytes))]
+        joined, last = b"".join(raw), np.cumsum(size)
+        for ids, n, table, lengths in sides:
+            ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.cumsum(n)]
+            if not np.array_equal(ends, last) or b"".join(map(table.__getitem__, ids.tolist())) != joined:
+                break
+        else:
+            return [x[0] for x in sides], [x[1] for x in sides], size
+        for i, own in enumerate(raw):
+            if any(b"".join(map(table.__getitem__, ids[i])) != own for ids, (table, _) in ((a, self.a_bytes), (b, self.b_bytes))):
+                a[i], b[i], size[i] = [], [], 0
+        sides = [_flat(a), _flat(b)]
+        return [x[0] for x in sides], [x[1] for x in sides], size
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((i for own in ids for i in own), np.int64, n.sum()), n
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, n.sum()), n
 
 
-def _sums(keys: tuple[np.ndarray, ...], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different rows of keys, in their order, and the sum of each one's weights."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], 0)
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(weights[order], first) if len(first) else weights[:0]
-    return [k[order[first]] for k in keys], total
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in their order, and the sum of each one's weights. Keys almost in order are fast."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
 
 
 @dataclass(frozen=True)
@@ -137,41 +157,37 @@ class Aligned:
     n_links: np.ndarray
     spelled: list[str]  # the groups, each ending with a semicolon
     n_pairs: np.ndarray
-    pair: np.ndarray  # A id in the upper 32 bits, B id in the lower
+    pair: np.ndarray  # A id, then B id in the lower bits
     times: np.ndarray
 
 
 def align(units: list[str], tokenizers: Tokenizers) -> Aligned:
-    both = tokenizers.encode(units)
-    ends, ids, n = [], [], []
-    for tokens, table in zip(both, (tokenizers.a_bytes, tokenizers.b_bytes), strict=True):
-        flat, count = _flat(tokens)
-        lengths = np.array([len(x) for x in table], np.int64)
-        ends.append(np.cumsum(lengths[flat]))
-        ids.append(flat), n.append(count)
-    good = n[0] > 0
-    last = np.cumsum([len(u.encode()) if g else 0 for u, g in zip(units, good.tolist(), strict=True)])
-    common = np.intersect1d(*ends)  # the ends of the groups
+    ids, n, size = tokenizers.encode(units)
+    lengths = tokenizers.a_bytes[1], tokenizers.b_bytes[1]
+    ends = [np.cumsum(of[own]) for of, own in zip(lengths, ids, strict=True)]
+    good, last = n[0] > 0, np.cumsum(size)
+    common = np.intersect1d(*ends, assume_unique=True)  # the ends of the groups
     group = [np.searchsorted(common, e) for e in ends]
     in_group = [np.bincount(g, minlength=len(common)) for g in group]
     unit = np.searchsorted(last, common)  # of each group
     links = in_group[0] * in_group[1]
     spelled = _spelled(group, in_group, ids, unit, len(units))
     # Different ids of each group, and the pairs of them.
-    (group_a, a), times_a = _sums((group[0], ids[0]), np.ones(len(ids[0]), np.int64))
-    (group_b, b), times_b = _sums((group[1], ids[1]), np.ones(len(ids[1]), np.int64))
-    of_a, of_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
+    (key_a, times_a), (key_b, times_b) = (
+        _sums(g << ID_BITS | own, np.ones(len(g), np.int64)) for g, own in zip(group, ids, strict=True)
+    )
+    of_a, of_b = (np.bincount(key >> ID_BITS, minlength=len(common)) for key in (key_a, key_b))
     start_a, start_b = (np.cumsum(x) - x for x in (of_a, of_b))
     cells = of_a * of_b
-    held = [(np.zeros(0, np.int64),) * 3]
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for part in _parts(cells, MOST_PAIRS):
         g = np.repeat(part, cells[part])
         at = np.arange(len(g)) - np.repeat(np.cumsum(cells[part]) - cells[part], cells[part])
         i, j = start_a[g] + at // of_b[g], start_b[g] + at % of_b[g]
-        (whose, pair), times = _sums((unit[g], (a[i] << 32) | b[j]), times_a[i] * times_b[j])
-        held.append((whose, pair, times))
-    whose, pair, times = (np.concatenate(x) for x in zip(*held, strict=True))
-    (whose, pair), times = _sums((whose, pair), times)
+        pair = (key_a[i] & LOW) << ID_BITS | (key_b[j] & LOW)
+        held.append(_sums(unit[g] << 2 * ID_BITS | pair, times_a[i] * times_b[j]))
+    key, times = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    whose, pair = key >> 2 * ID_BITS, key & (LOW << ID_BITS | LOW)
     first = np.searchsorted(whose, np.arange(len(units) + 1))
     per_unit = lambda w: np.bincount(unit, w, len(units)).astype(np.int64)
     return Aligned(good, n[0], n[1], per_unit(np.ones(len(unit))), per_unit(links), spelled, np.diff(first), pair, times)
@@ -244,21 +260,28 @@ def members(n: np.ndarray, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Numbers(dict):
+    """Numbers of keys, in the order they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Chunk:
     """Documents of a chunk, and the different parts of their texts."""
 
     def __init__(self) -> None:
         self.ids: list[pa.Array] = []
         self.numbers: list[np.ndarray] = []  # of each text's parts
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.size = 0
 
     def add(self, ids: pa.Array, texts: list[str], tokenizers: Tokenizers) -> None:
         self.ids.append(ids)
-        index = self.index
         for text in texts:
             units = tokenizers.units(text) if text else []
-            self.numbers.append(np.array([index.setdefault(u, len(index)) for u in units], np.int64))
+            self.numbers.append(np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)))
             self.size += len(text)
 
     def rows(self, chunk: int, tokenizers: Tokenizers) -> Iterator[pa.RecordBatch]:
@@ -280,14 +303,16 @@ class Chunk:
         yield _batch(chunk, n_docs, columns, self.ids[0].type)
         # Links of a document: the pairs of its parts, as often as it has them.
         document = np.repeat(np.arange(n_docs), [len(x) for x in own])
-        (document, unit), often = _sums((document, np.concatenate([*own, np.zeros(0, np.int64)])), np.ones(len(document), np.int64))
+        parts = np.concatenate([*own, np.zeros(0, np.int64)])
+        key, often = _sums(document << 32 | parts, np.ones(len(parts), np.int64))
+        document, unit = key >> 32, key & 0xFFFFFFFF
         pairs = np.unique(found.pair)
         number = np.searchsorted(pairs, found.pair)
         n, first = found.n_pairs[unit], np.cumsum(found.n_pairs) - found.n_pairs
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[unit], n)
         key, links = number[at] * MOST_DOCUMENTS + np.repeat(document, n), found.times[at] * np.repeat(often, n)
         del at
-        (key,), links = _sums((key,), links)
+        key, links = _sums(key, links)
         row, document = key // MOST_DOCUMENTS, key % MOST_DOCUMENTS
         # The presence of a pair, then the planes of its further links.
         further = links - 1
@@ -356,7 +381,8 @@ def pair_scores(index: DataFrame) -> DataFrame:
         F.sum(F.col("n") * weight).alias("links"),
     )
     named = counted.select(
-        "pair", F.shiftright("pair", 32).cast("int").alias("a"), F.expr("CAST(pair & 4294967295L AS int)").alias("b"),
+        "pair", F.shiftright("pair", ID_BITS).cast("int").alias("a"),
+        F.col("pair").bitwiseAND(F.lit(LOW)).cast("int").alias("b"),
         "documents", "links",
     )
     # A row for each id of A: no more than its vocabulary has.
