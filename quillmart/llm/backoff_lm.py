@@ -139,6 +139,20 @@ def dealt(grams: Grams, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=U))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; the first byte says how many."""
+    wide = np.ascontiguousarray(numbers, "<u8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + wide.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, : data[0]] = narrow
+    return wide.view("<u8").ravel()
+
+
 @dataclass(frozen=True)
 class Automaton:
     """States are numbered from 0, the root, arcs by their n-grams, all lengths in one row."""
@@ -277,39 +291,36 @@ def score_documents(
         return grams_of(table["text"].to_pylist(), learn, s.order)
 
     def ask(table: pa.Table) -> pa.Table:
-        """A row for each part: hashes of n-grams and their counts, as numbers side by side."""
+        """A row for each part: hashes of n-grams, as steps from one to the next, and their counts."""
         grams = read(table)
         order, starts = dealt(grams, parts)
-        keys = np.concatenate(grams.keys)[order]
-        learned = np.concatenate(grams.learned)[order].astype(np.uint32)
+        # Hashes of a part agree in the remainder.
+        keys = np.concatenate(grams.keys)[order] // U(parts)
+        learned = np.concatenate(grams.learned)[order]
         some = np.flatnonzero(np.diff(starts))
-        packed = ([x[starts[p] : starts[p + 1]].tobytes() for p in some] for x in (keys, learned))
-        block = np.full(len(some), table["block"][0].as_py(), np.int32)
-        columns = [pa.array(some.astype(np.int32)), pa.array(block), *(pa.array(x, pa.binary()) for x in packed)]
+        cells = [slice(starts[p], starts[p + 1]) for p in some]
+        columns = [
+            pa.array(some.astype(np.int32)), pa.array(np.full(len(some), table["block"][0].as_py(), np.int32)),
+            pa.array([packed(np.diff(keys[c], prepend=U(0))) for c in cells], pa.binary()),
+            pa.array([packed(learned[c]) for c in cells], pa.binary()),
+        ]
         return pa.Table.from_arrays(columns, names=["part", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         """The counts of every block's n-grams over all blocks, in the block's order."""
-        keys = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        keys = [np.cumsum(unpacked(x), dtype=U) for x in table["keys"].to_pylist()]
+        counts = np.concatenate([unpacked(x) for x in table["counts"].to_pylist()])
         unique, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(number, counts, len(unique)).astype(np.int64)[number]
         ends = np.cumsum([0, *map(len, keys)])
-        # Most counts are small, and are sent in as few bytes as they need.
-        packed = [np.ascontiguousarray(total[a:b].astype(np.min_scalar_type(total[a:b].max()))) for a, b in zip(ends, ends[1:], strict=False)]
-        size = pa.array([x.itemsize for x in packed], pa.int32())
-        return pa.Table.from_arrays(
-            [table["part"], table["block"], size, pa.array([x.tobytes() for x in packed], pa.binary())],
-            names=["of_part", "of_block", "size", "totals"],
-        )
+        totals = pa.array([packed(total[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        return pa.Table.from_arrays([table["part"], table["block"], totals], names=["of_part", "of_block", "totals"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grams = read(texts)
         order, _ = dealt(grams, parts)
         count = np.zeros(len(order), np.int64)
-        answers = answers.sort_by("of_part")
-        sizes = answers["size"].to_pylist()
-        totals = [np.frombuffer(x, f"u{b}").astype(np.int64) for x, b in zip(answers["totals"].to_pylist(), sizes, strict=True)]
+        totals = [unpacked(x) for x in answers.sort_by("of_part")["totals"].to_pylist()]
         if totals:
             count[order] = np.concatenate(totals)
         counts = np.split(count, np.cumsum([len(k) for k in grams.keys])[:-1])
@@ -329,7 +340,7 @@ def score_documents(
         return pa.Table.from_arrays(columns, names=["id", "learned", "n_tokens", "n_known", "base_score", "score"])
 
     asked = in_blocks.groupBy("block").applyInArrow(ask, "part int, block int, keys binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "of_part int, of_block int, size int, totals binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "of_part int, of_block int, totals binary")
     scored = in_blocks.groupBy("block").cogroup(answered.groupBy("of_block")).applyInArrow(
         score, f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double"
     )
