@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: stable projections in a kd-tree, with a stopping test.
 
 Vectors get one more component that gives all of them one length, so that the largest inner product is the
-smallest distance; a query's own is 0, whatever its length. A Gaussian projection to few dimensions follows:
-squared projected distance over squared distance has a chi-square distribution. The leaves of a kd-tree over the projections are blocks of rows.
-A query first verifies its own leaf; its k-th best distance then tells which other leaves may hold a nearer
-vector. In every block it verifies rows in the order of their projected distance until the test holds: a
-nearer vector than the k-th best would with probability ``confidence`` have come before.
+smallest distance; a query is scaled to that length, which does not change its ranks, and its own added
+component is 0. A Gaussian projection to few dimensions follows: squared projected distance over squared
+distance has a chi-square distribution. The leaves of a kd-tree over the projections are blocks of rows.
+A query first verifies its own leaf, then the others in rounds, nearest first and four times as many leaves a
+round. It stops when the test holds for all leaves left: a nearer vector than its k-th best would with
+probability ``confidence`` lie nearer than they do. In every block it verifies rows in the order of their
+projected distance until the same test holds. A query with fewer than k candidates so far visits on.
 
 The tree's splits are fitted on a bounded sample; every row is in the index. A leaf with more than
 ``block_rows`` rows, such as copies of one vector, is cut into several blocks, and so are the queries that
@@ -14,14 +16,17 @@ visit a block.
 Defined results: vectors that are NULL, zero, of another length than most, or hold NULL or non-finite
 components take no part, as queries or as candidates; neither do rows without an id. Rows that share an id
 count once. Equal scores rank by the smaller id. An empty table gives an empty result. Only the id and the
-vector are read, so other columns cannot clash.
+vector are read, so other columns cannot clash. Vectors of any finite length are searched: distances are
+taken of scaled vectors, and queries meet the candidates scaled by powers of two, so that ranks do not depend
+on whether a score is within the range of doubles. A score beyond it is returned as infinite.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,7 @@ class Settings:
     sample_rows: int = 50_000  # most rows the splits are fitted on
     block_rows: int = 4096
     step: int = 512  # rows verified between two tests
+    first_leaves: int = 4  # visited in the first round after the own leaf
     seed: int = 20
 
 
@@ -96,6 +102,22 @@ def leaf_of(points: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.
     return out
 
 
+def scaled(x: np.ndarray, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two each that makes the largest component less than 2 ** -bits, and the powers taken out."""
+    power = np.frexp(np.abs(x).max(1))[1] + bits
+    return np.ldexp(x, -power[:, None]), power
+
+
+def reach(queries: np.ndarray, bounds: np.ndarray, power: int, longest: float, limit: float) -> np.ndarray:
+    """Squared projected distances within which a row with a score of ``bounds`` lies by the test.
+
+    ``power`` is that of the rows, ``longest`` the squared length of the scaled rows. Rounding must not put a
+    copy of the query out of reach, so a little is added.
+    """
+    to_length = math.sqrt(longest) / np.linalg.norm(queries, axis=1)
+    return limit * np.maximum(0, 2 * longest - 2 * to_length * np.ldexp(bounds, -power)) + 1e-9 * longest
+
+
 def best_in_block(
     queries: np.ndarray,
     query_ids: np.ndarray,
@@ -105,25 +127,25 @@ def best_in_block(
     ids: np.ndarray,
     points_near: np.ndarray,
     k: int,
-    limit: float,
-    longest: float,
+    within: Callable[[np.ndarray, np.ndarray], np.ndarray],
     step: int,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query its number, and ids and scores of its best rows in a block.
 
-    ``near`` and ``points_near`` are projections, ``bounds`` the k-th best scores known so far.
+    ``near`` and ``points_near`` are projections, ``bounds`` the k-th best scores known so far, minus infinity
+    where none is; ``within`` gives the reach of queries for scores.
     """
-    own = (queries * queries).sum(1) + longest
+    at_first = within(queries, bounds)
     for i, q in enumerate(queries):
         gap = points_near - near[i]
         gap = np.einsum("ij,ij->i", gap, gap)
         least = bounds[i]
-        left = np.flatnonzero((gap <= limit * (own[i] - 2 * least)) & (ids != query_ids[i]))
+        left = np.flatnonzero((gap <= at_first[i]) & (ids != query_ids[i]))
         left = left[np.argsort(gap[left], kind="stable")]
         held_at, held = np.zeros(0, np.int64), np.zeros(0)
         for start in range(0, len(left), step):
             part = left[start : start + step]
-            if gap[part[0]] > limit * (own[i] - 2 * least):
+            if gap[part[0]] > within(q[None], np.array([least]))[0]:
                 break
             # Row by row sums: equal vectors get equal scores.
             score = (points[part] * q).sum(1)
@@ -157,14 +179,19 @@ def search(
     if dim is None:
         return spark.createDataFrame([], result)
     clean = clean.filter(F.size("vec") == dim)
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = clean.agg(F.count("*"), F.max(square)).first()
+    n, largest = clean.agg(F.count("*"), F.max(F.array_max(F.transform("vec", F.abs)))).first()
+    power = math.frexp(largest)[1]
+    # In two steps: one factor may be beyond the range of doubles.
+    half = -power // 2
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(x * 2.0**half * 2.0 ** (-power - half), F.lit(2.0)))
+    longest = clean.agg(F.max(square)).first()[0]
     limit = chi_square_quantile(s.confidence, s.dims)
     plane = np.random.default_rng(s.seed).standard_normal((dim + 1, s.dims))
+    within = partial(reach, power=power, longest=longest, limit=limit)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), dim)
+            x = np.ldexp(matrix(batch.column(1), dim), -power)
             rest = np.sqrt(np.maximum(0, longest - (x * x).sum(1)))
             near = np.column_stack([x, rest]) @ plane
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(near)], names=["id", "vec", "near"])
@@ -194,36 +221,41 @@ def search(
         *(F.col(c).alias(f"p_{c}") for c in ("id", "vec", "near")),
     )
 
+    asking = "id long, vec array<double>, power int, near array<double>"
+    spare = math.ceil(math.log2(dim)) + 1  # bits: no inner product of a scaled query overflows
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Projection and leaf of a row as a query: its added component is 0."""
+        """Scaled vector, power taken out, projection and leaf of a row as a query."""
         for batch in batches:
-            near = matrix(batch.column(1), dim) @ plane[:dim]
-            columns = [*batch.columns, lists(near), pa.array(leaf_of(near, tree))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*"id vec near leaf".split()])
+            x, out = scaled(matrix(batch.column(1), dim), spare)
+            near = x * (math.sqrt(longest) / np.linalg.norm(x, axis=1))[:, None] @ plane[:dim]
+            columns = [batch.column(0), lists(x), pa.array(out, pa.int32()), lists(near), pa.array(leaf_of(near, tree))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*"id vec power near leaf".split()])
 
-    queries = placed.filter(is_query).select("id", "vec").mapInArrow(
-        ask, "id long, vec array<double>, near array<double>, leaf int"
-    )
+    queries = placed.filter(is_query).select("id", "vec").mapInArrow(ask, f"{asking}, leaf int")
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other leaves in reach of each query."""
-        names = ["id", "vec", "near", "bound", "leaf"]
+    def visit(first: int, last: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the other leaves, nearest first, the ``first`` to ``last`` as far as they are in reach of each query."""
+        names = ["id", "vec", "power", "near", "bound", "leaf"]
         for batch in batches:
-            own, bound = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            near, vec = matrix(batch.column(2), s.dims), matrix(batch.column(1), dim)
-            reach = limit * ((vec * vec).sum(1) + longest - 2 * bound)
+            own, bound = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            near = matrix(batch.column(3), s.dims)
+            furthest = within(matrix(batch.column(1), dim), bound)
             for i in range(len(near)):
                 gap = np.maximum(0, np.maximum(low - near[i], near[i] - high))
-                to = leaves[((gap * gap).sum(1) <= reach[i]) & (leaves != own[i])]
+                gap = (gap * gap).sum(1)
+                order = np.argsort(gap, kind="stable")
+                order = order[leaves[order] != own[i]][first:last]
+                to = leaves[order[gap[order] <= furthest[i]]]
                 row = batch.slice(i, 1).take(pa.array(np.zeros(len(to), np.int64)))
-                columns = [row.column(0), row.column(1), row.column(2), row.column(4), pa.array(to, pa.int32())]
+                columns = [*row.columns[:4], row.column(5), pa.array(to, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def verify(visits: DataFrame) -> DataFrame:
         """Best rows of the blocks of the leaves that queries visit."""
         to = visits.join(F.broadcast(parts), "leaf").select(
-            "id", "vec", "near", "bound", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        ).select(F.struct("leaf", "part").alias("block"), "id", "vec", "near", "bound")
+            "id", "vec", "power", "near", "bound", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        ).select(F.struct("leaf", "part").alias("block"), "id", "vec", "power", "near", "bound")
         crowds = to.groupBy("block").agg(F.ceil(F.count("*") / s.block_rows).cast("int").alias("crowds"))
         asked = to.join(crowds, "block").withColumn("crowd", F.pmod(F.xxhash64("id"), "crowds").cast("int"))
         asked_of = blocks.join(crowds, F.col("in_block") == F.col("block")).select(
@@ -232,34 +264,44 @@ def search(
         )
 
         def run(q: pa.Table, p: pa.Table) -> pa.Table:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
             if q.num_rows and p.num_rows:
-                q_ids = q["id"].to_numpy()
+                q_ids, power = q["id"].to_numpy(), q["power"].to_numpy()
                 found = best_in_block(
                     matrix(q["vec"], dim), q_ids, matrix(q["near"], s.dims), q["bound"].to_numpy(),
                     matrix(p["p_vec"], dim), p["p_id"].to_numpy(), matrix(p["p_near"], s.dims),
-                    k, limit, longest, s.step,
+                    k, within, s.step,
                 )
-                out += [(np.full(len(ids), q_ids[i]), ids, score) for i, ids, score in found]
+                out += [(np.full(len(ids), q_ids[i]), np.full(len(ids), power[i]), ids, score) for i, ids, score in found]
             columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-            return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])
+            return pa.Table.from_arrays(columns, names=["query_id", "power", "vec_id", "scaled"])
 
         return (
             asked.groupBy("block", "crowd").cogroup(asked_of.groupBy("of", "of_crowd"))
-            .applyInArrow(run, "query_id long, vec_id long, score double")
+            .applyInArrow(run, "query_id long, power int, vec_id long, scaled double")
         )
 
-    worst = F.lit(-math.sqrt(longest) * 1e6)  # no bound is known yet
-    first = stored(verify(queries.withColumn("bound", worst)), "nearest")
-    by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = (
-        first.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") == k)
-        .select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    )
-    bounded = queries.join(kth, "id", "left").select("id", "vec", "near", "leaf", F.coalesce("bound", worst).alias("bound"))
-    others = bounded.mapInArrow(visit, "id long, vec array<double>, near array<double>, bound double, leaf int")
-    every = first.unionByName(verify(stored(others, "visits")))
-    return (
-        every.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    by_rank = Window.partitionBy("query_id").orderBy(F.desc("scaled"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        return stored(found.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k), "nearest")
+
+    none = F.lit(float("-inf"))  # no bound is known yet
+    nearest = best(verify(queries.withColumn("bound", none)))
+    first, width = 0, s.first_leaves
+    while first < len(leaves) - 1:
+        kth = nearest.filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("scaled").alias("kth"))
+        bounded = queries.join(kth, F.col("id") == F.col("of"), "left").select(
+            "id", "vec", "power", "near", "leaf", F.coalesce("kth", none).alias("bound")
+        )
+        visits = stored(
+            bounded.mapInArrow(partial(visit, first, first + width), f"{asking}, bound double, leaf int"), "visits"
+        )
+        # The leaves come nearest first: those of later rounds are out of reach too.
+        if visits.isEmpty():
+            break
+        nearest = best(nearest.drop("rank").unionByName(verify(visits)))
+        first, width = first + width, 4 * width
+    low_half = F.floor(F.col("power") / 2)
+    score = F.col("scaled") * F.pow(F.lit(2.0), low_half) * F.pow(F.lit(2.0), F.col("power") - low_half)
+    return nearest.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

@@ -69,6 +69,34 @@ def test_few_candidates_are_all_returned(spark):
     assert found(spark, data[:1], 20) == {}
 
 
+def test_vectors_of_any_length(spark):
+    assert found(spark, [(0, [1e7, 0.0]), (1, [-1e7, 1.0]), (2, [1.0, 0.0]), (3, [-1.0, 3.0])], 20) == {0: [2, 3, 1]}
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    expected = [int(j) for j in np.argsort(-(x @ x[0]), kind="stable") if j]
+    for size, squared in ((1e200, math.inf), (1e-200, 0.0), (1e-310, 0.0)):
+        data = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = sorted(rows(projected_search.search(data, F.col("id") == 0, 100, settings=Settings(block_rows=16))))
+        # Tiny components have lost digits, so only their number is fixed.
+        assert [r[2] for r in got] == expected or size == 1e-310 and sorted(r[2] for r in got) == sorted(expected)
+        assert {abs(r[3]) for r in got} == {squared}
+
+
+def test_clusters_leave_most_leaves_unvisited(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 6000)] + 0.1 * rng.normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    tables = {}
+    store = projected_search.stored
+    monkeypatch.setattr(projected_search, "stored", lambda df, name: tables.setdefault(name, []).append(store(df, name)) or tables[name][-1])
+    assert recall(found(spark, data, 20, block_rows=128, step=32), plain(data, 20)) >= 0.9
+    leaves = tables["placed"][0].select("leaf").distinct().count()
+    visits = sum(t.count() for t in tables["visits"])
+    assert leaves > 40 and visits < 0.5 * 300 * (leaves - 1)
+
+
 def test_awkward_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     data = [
