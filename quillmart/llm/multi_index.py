@@ -6,7 +6,8 @@ sum of its squared distances to the two codes, as far as the target recall asks:
 over the nearest cell within which, for sampled vectors turned by the angle of the threshold, the share
 ``recall`` of the turned vectors lie. Vectors of visited cells are verified by their cosine.
 
-Codebooks and reach are fitted on a bounded sample; every vector is in the index. Equal vectors of a label
+Codebooks and reach are fitted on a bounded sample; every vector is in the index. Rows meet by label and first
+code, in blocks; there the rows of a cell are compared with its visitors alone. Equal vectors of a label
 are verified once. A pair is seen from its first vector or its second; it is counted once for each. Pairs
 are not listed: blocks of at most ``block_rows`` rows a side return link counts and a spanning forest of
 their links, so a group of near copies costs as many rows as it has members per block.
@@ -15,7 +16,7 @@ Defined results: vectors that are NULL, zero, of another length than most, or ho
 components, and vectors without a label, link with nothing; their component is their own id. Rows that
 share an id count once, with the smallest (label, vector) that can be linked. Rows without an id have no
 result. An empty table gives an empty result. Only id, vector and label are read, so other columns cannot
-clash.
+clash. Vectors of any finite length count by their direction.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Settings:
     recall: float = 0.99
     sample_rows: int = 20_000  # most rows codebooks and reach are fitted on
     cell_rows: int = 64  # rows wanted per cell of a label
-    most_codes: int = 256
+    most_codes: int = 1024
     rounds: int = 8  # of Lloyd's algorithm
     block_rows: int = 2048
     seed: int = 8
@@ -194,21 +195,28 @@ def near_duplicates(
         q, p = np.flatnonzero(asks), np.flatnonzero(~asks)
         counted = np.zeros(len(ids), np.int64)
         links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if len(p):
+        if len(p) and len(q):
             q_a, q_b = index.distances(x[q])
             p_a, p_b = index.distances(x[p])
-            for start in range(0, len(q), 512):
-                at = slice(start, start + 512)
-                part = q[at]
-                near = (x[part] @ x[p].T >= cosine) & (ids[part][:, None] != ids[p])
-                i, j = np.nonzero(near)
-                seen = q_a[at][i, code_a[p[j]]] + q_b[at][i, code_b[p[j]]] <= index.reach
-                i, j = i[seen], j[seen]
-                back = p_a[j, code_a[part[i]]] + p_b[j, code_b[part[i]]] <= index.reach
-                np.add.at(counted, part[i], copies[p[j]])
-                # A pair that is seen from both sides counts for each of them once.
-                np.add.at(counted, p[j][~back], copies[part[i]][~back])
-                links.append((part[i], p[j]))
+            p = p[np.argsort(code_b[p], kind="stable")]
+            at_p = np.zeros(len(ids), np.int64)
+            at_p[np.flatnonzero(~asks)] = np.arange(len(p))
+            to = code_a[p[0]]  # of all residents here
+            # Only the rows of a cell that a vector visits are compared with it.
+            starts = np.flatnonzero(np.diff(code_b[p], prepend=-1))
+            for first, last in zip(starts, [*starts[1:], len(p)], strict=True):
+                cell = p[first:last]
+                visitors = np.flatnonzero(q_a[:, to] + q_b[:, code_b[cell[0]]] <= index.reach)
+                for start in range(0, len(visitors), 512):
+                    at = visitors[start : start + 512]
+                    part = q[at]
+                    i, j = np.nonzero((x[part] @ x[cell].T >= cosine) & (ids[part][:, None] != ids[cell]))
+                    home = at_p[cell[j]]
+                    back = p_a[home, code_a[part[i]]] + p_b[home, code_b[part[i]]] <= index.reach
+                    np.add.at(counted, part[i], copies[cell[j]])
+                    # A pair that is seen from both sides counts for each of them once.
+                    np.add.at(counted, cell[j][~back], copies[part[i]][~back])
+                    links.append((part[i], cell[j]))
         a, b = (np.concatenate(c) for c in zip(*links, strict=True))
         if len(a):
             order = {v: k for k, v in enumerate(np.unique(ids[np.append(a, b)]).tolist())}
@@ -246,4 +254,6 @@ def near_duplicates(
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; a power of two is taken out first, as squares of extreme components have no place in a double."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)

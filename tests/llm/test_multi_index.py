@@ -77,6 +77,23 @@ def test_awkward_vectors(spark):
     assert found(spark, []) == {}
 
 
+def test_extreme_vectors_link_by_direction(spark):
+    data = [(i, [1.0 * size, 2.0 * size, -size], 1) for i, size in enumerate((1e200, 1e-200, 3.0, 1e308 / 2, 1e-300))]
+    data.append((9, [1e200, -1e200, 0.0], 1))
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r[0]: tuple(r[1:]) for r in multi_index.near_duplicates(table, 0.93).collect()}
+    assert got == {**{i: (4, 0, i == 0) for i in range(5)}, 9: (0, 9, True)}
+
+
+def test_many_cells_find_the_links_of_all_pairs(spark):
+    data = near_copies(12, 60, 20)
+    expected = plain(data, 0.93)
+    got = found(spark, data, cell_rows=2, block_rows=64)
+    n, all_links = (sum(x[i][0] for i in expected) for x in (got, expected))
+    assert n >= 0.99 * all_links > 0
+    assert all(got[i][0] <= expected[i][0] for i in got)
+
+
 def test_whole_table_against_all_pairs(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     data = [tuple(r) for r in table.collect()]
