@@ -291,9 +291,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     texts = _texts(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
     spans = repeated_spans(docs, id_col, text_col, settings).groupBy("id", "same").agg(
-        F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")
+        F.collect_set(F.struct("low", "high")).alias("spans")  # equal rows have the same spans: each once
+    )
+    to = spans.select(
+        F.col("id").alias("of_id"), F.col("same").alias("of_same"), F.col("spans.low").alias("lows"), F.col("spans.high").alias("highs")
     )
-    to = spans.select(F.col("id").alias("of_id"), F.col("same").alias("of_same"), "lows", "highs")
     joined = texts.join(to, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("same") == F.col("of_same")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +303,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
             out = []
             for text, lows, highs in zip(*(batch.column(c).to_pylist() for c in ("text", "lows", "highs")), strict=True):
                 runs: list[list[int]] = []
-                for low, high in sorted(set(zip(lows or [], highs or [], strict=True))):
+                for low, high in sorted(zip(lows or [], highs or [], strict=True)):
                     if runs and low <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], high)
                     else:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 from corpus import documents, no_documents, random_words, table, texts
+from pyspark.sql import functions as F
 
 from quillmart.llm import anchors, suffix_dedup
 
@@ -97,3 +98,13 @@ def test_the_first_of_equal_minima_is_taken():
         x = rng.integers(0, 4, n).astype(np.uint64)
         expected = [i + int(np.argmin(x[i : i + width])) for i in range(n - width + 1)]
         assert anchors.first_minimum(x, width).tolist() == expected
+
+
+def test_equal_rows_share_one_list_of_spans(spark):
+    text = passages(9)[0] * 2
+    table = spark.createDataFrame([(7, text)] * 500 + [(None, text)] * 500, "doc_id long, text string")
+    spans = suffix_dedup.repeated_spans(table).distinct()
+    assert spans.count() < 100
+    got = suffix_dedup.dedup(table).select("id", "n_bytes", F.size("low"), F.length("kept"))
+    assert got.distinct().count() == 2 and got.count() == 1000
+    assert {tuple(r)[1:] for r in got.collect()} == {(len(text.encode()), 1, 0)}
