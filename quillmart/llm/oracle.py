@@ -1,4 +1,4 @@
-"""SQL for DuckDB of the corpus queries that SQL can express, in the plainest form: every pair of rows."""
+"""SQL for DuckDB of the corpus queries that SQL can express, in the plainest form: every pair of rows, every window."""
 
 from __future__ import annotations
 
@@ -32,5 +32,62 @@ QUALIFY rank <= 10
 """
 
 
+OP6_SUFFIX_DEDUP = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+),
+windows AS (
+    SELECT r, low, md5(substr(bytes, 2 * low + 1, 400)) AS digest
+    FROM (SELECT r, bytes, unnest(range(0, len(bytes) // 2 - 199)) AS low FROM docs)
+),
+often AS (SELECT digest FROM windows GROUP BY digest HAVING count(*) > 1),
+covered AS (SELECT r, low FROM windows SEMI JOIN often USING (digest)),
+marked AS (
+    SELECT r, low, coalesce(low > lag(low) OVER (PARTITION BY r ORDER BY low) + 200, true) AS opens FROM covered
+),
+numbered AS (
+    SELECT r, low, sum(opens::INT) OVER (PARTITION BY r ORDER BY low ROWS UNBOUNDED PRECEDING) AS run FROM marked
+),
+runs AS (SELECT r, min(low) AS low, max(low) + 200 AS high FROM numbered GROUP BY r, run),
+pieces AS (
+    SELECT d.r, p.low, substr(d.bytes, 2 * p.after + 1, 2 * (p.low - p.after)) AS piece
+    FROM (SELECT r, low, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS after FROM runs) p JOIN docs d USING (r)
+    UNION ALL
+    SELECT d.r, 1e15::BIGINT, substr(d.bytes, 2 * coalesce(e.high, 0) + 1)
+    FROM docs d LEFT JOIN (SELECT r, max(high) AS high FROM runs GROUP BY r) e USING (r)
+),
+kept AS (SELECT r, string_agg(piece, '' ORDER BY low) AS bytes FROM pieces GROUP BY r),
+removed AS (SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed FROM runs GROUP BY r)
+SELECT d.doc_id, CAST(len(d.bytes) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.bytes)) AS kept_sha256
+FROM docs d JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
+
+OP8_MULTI_INDEX = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x <> 0]) > 0
+      AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings WHERE vec_id IS NOT NULL
+    UNION
+    SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+),
+components AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM components
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": OP12_HARD_NEGATIVES}
+    return {
+        "op6_suffix_dedup": OP6_SUFFIX_DEDUP,
+        "op8_multi_index": OP8_MULTI_INDEX,
+        "op12_hard_negatives": OP12_HARD_NEGATIVES,
+    }
