@@ -85,9 +85,55 @@ FROM components
 """
 
 
+# Of two lines of 16 characters or more within one edit the first or the last seven characters are equal. Their
+# distance is looked at behind what they have in common at the start, by characters.
+OP9_LINE_DEDUP = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+places AS (
+    SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
+    FROM docs
+),
+lines AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, r, no) AS pos, length(line) AS n,
+           length(line) >= 16 OR regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS compared
+    FROM places
+),
+firsts AS (SELECT line, n, min(pos) AS pos FROM lines WHERE compared GROUP BY ALL),
+long AS (SELECT line, n, pos FROM firsts WHERE n >= 16),
+pairs AS (
+    SELECT a.line AS a, b.line AS b, a.pos FROM long a JOIN long b
+    ON left(a.line, 7) = left(b.line, 7) AND b.pos < a.pos AND abs(a.n - b.n) <= 1
+    UNION
+    SELECT a.line, b.line, a.pos FROM long a JOIN long b
+    ON right(a.line, 7) = right(b.line, 7) AND b.pos < a.pos AND abs(a.n - b.n) <= 1
+),
+common AS (
+    SELECT *, coalesce(list_max([i FOR i IN range(1, least(length(a), length(b)) + 1) IF left(a, i) = left(b, i)]), 0) AS same
+    FROM pairs
+),
+near AS (
+    SELECT DISTINCT pos FROM common
+    WHERE substr(a, same + 2) = substr(b, same + 2) OR substr(a, same + 1) = substr(b, same + 2)
+       OR substr(a, same + 2) = substr(b, same + 1)
+),
+stay AS (
+    SELECT r, no, line FROM lines
+    WHERE NOT compared OR (pos IN (SELECT pos FROM firsts) AND pos NOT IN (SELECT pos FROM near))
+),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY no) AS body FROM stay GROUP BY r),
+whole AS (
+    SELECT doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(body, '') END AS body FROM docs LEFT JOIN kept USING (r)
+)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(length(body) AS BIGINT) AS kept_chars, sha256(body) AS kept_sha256
+FROM whole
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_suffix_dedup": OP6_SUFFIX_DEDUP,
         "op8_multi_index": OP8_MULTI_INDEX,
+        "op9_line_dedup": OP9_LINE_DEDUP,
         "op12_hard_negatives": OP12_HARD_NEGATIVES,
     }
