@@ -1,0 +1,42 @@
+import random
+
+import pytest
+from conftest import rows
+
+from quillmart.llm.common import components
+
+
+def reachable(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(n)}
+
+
+N = 200
+CASES = {
+    "none": [],
+    "loops and repeats": [(5, 5), (7, 3), (3, 7), (3, 7)],
+    "path": [(i, i + 1) for i in range(N - 1)],
+    "path from its end": [(i, i - 1) for i in range(N - 1, 0, -1)],
+    "star": [(0, i) for i in range(1, N)],
+    "star around the largest": [(i, N - 1) for i in range(N - 1)],
+    "two stars that share a leaf": [*((0, i) for i in range(2, 50)), *((1, i) for i in range(49, 90))],
+    "scattered": [(random.Random(1).randrange(N), i) for i in range(0, N, 2)],
+    "dense": [(i * 7 % N, i * i % N) for i in range(N)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_smallest_reachable_node(spark, case):
+    nodes = spark.range(N).withColumnRenamed("id", "node")
+    got = rows(components(nodes, spark.createDataFrame(CASES[case], "a long, b long")))
+    assert dict(got) == reachable(N, CASES[case])
+    assert len(got) == N
