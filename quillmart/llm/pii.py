@@ -2,8 +2,8 @@
 
 Built of SQL functions alone. Four rules find the base spans: e-mail addresses, IP addresses, card
 numbers and phone numbers. Broad generators propose further, overlapping spans. Boosted trees score a
-proposal by its format and its context. They learn from base spans whose deciding mark is masked, as examples
-of what the rules miss, against a bounded sample of the proposals in all texts, which are unlabelled. A proposal
+proposal by its format and its context. They learn from all base spans, their deciding mark masked, as examples
+of what the rules miss, against all other proposals in all texts, which are unlabelled. A proposal
 is redacted when it meets no base span, its score reaches the threshold of its kind, and no better proposal
 overlaps it. Thresholds are calibrated on rows kept out of training: the lowest score from which on the share
 of personal data, as far as proposals score like masked spans, is ``precision``. So the more there is to find,
@@ -202,8 +202,6 @@ def proposals(rows: DataFrame) -> DataFrame:
 class Settings:
     """What training depends on."""
 
-    sample_rows: int = 20_000  # most proposals the trees and thresholds are fitted on
-    masked_rows: int = 10_000  # most known spans that are masked
     trees: int = 8
     rate: float = 0.5
     smoothing: float = 1.0
@@ -256,7 +254,7 @@ class Model:
         return F.lit(1.0) / (1 + F.exp(-self.margin(f)))
 
 
-def masked(rows: DataFrame, s: Settings) -> DataFrame:
+def masked(rows: DataFrame) -> DataFrame:
     """Known spans without the mark by which the rules know them, within some of their text.
 
     ``rows`` are those of ``with_base``. Of an address the sign goes, and in half of the cases the dots; of a phone
@@ -267,9 +265,6 @@ def masked(rows: DataFrame, s: Settings) -> DataFrame:
     spans = rows.select("id", "text", F.explode("base").alias("s")).select(
         "id", "text", "s.kind", "s.start", "s.end", F.xxhash64("id", "text", "s.start", "s.kind").alias("at")
     )
-    # Hashes first, so that few texts are moved.
-    last = spans.select("at").orderBy("at").limit(s.masked_rows).agg(F.max("at")).first()[0]
-    chosen = spans.filter(F.col("at") <= (-1 if last is None else last)).dropDuplicates(["at"])
     part = lambda start, n: F.substring(F.col("text"), start + 1, n)
     value = part(F.col("start"), F.col("end") - F.col("start"))
     place = F.pmod("at", F.lit(4))
@@ -290,10 +285,11 @@ def masked(rows: DataFrame, s: Settings) -> DataFrame:
     after = part(F.col("end"), F.lit(AROUND))
     low = F.char_length(before)
     none = F.expr("CAST(array() AS array<struct<kind: string, start: int, end: int>>)")
-    return chosen.select(
+    # A span of repeated rows counts once. Only the text around it is moved.
+    return spans.select(
         F.col("at").alias("id"), F.concat(before, hidden, after).alias("text"), none.alias("base"),
         low.alias("low"), (low + F.char_length(hidden)).alias("high"), place.cast("int").alias("form"),
-    )
+    ).dropDuplicates(["id"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> Model:
@@ -301,7 +297,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
 
     A proposal that covers a masked span is an example of personal data that the rules miss (``y`` is 1). The other
     proposals, but for those that meet a base span, are unlabelled: some of them may be personal data, so they
-    are never counted as errors. The trees learn what sets the masked spans apart from them.
+    are never counted as errors. The trees learn what sets the masked spans apart from them. All of them are learned
+    from: those of one kind, form and features are one row with their number.
     """
     s = settings or Settings()
     rows = with_base(docs, id_col, text_col)
@@ -310,13 +307,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
         "kind", "f", F.lit(0).alias("y"), F.lit(-1).alias("form"), F.xxhash64("id", "start", "end", "f").alias("at")
     )
     covers = lambda c: (c["start"] <= F.col("low") + 1) & (c["end"] >= F.col("high") - 1)
-    known = proposals(masked(rows, s)).select("id", "form", F.inline(F.filter("proposed", covers)))
+    known = proposals(masked(rows)).select("id", "form", F.inline(F.filter("proposed", covers)))
     known = known.select("kind", "f", F.lit(1).alias("y"), "form", F.xxhash64("id", "start", "end").alias("at"))
-    sample = stored(unknown.orderBy("at", "kind").limit(s.sample_rows).unionByName(known), "proposals").withColumn(
-        "kept", F.pmod("at", F.lit(3)) == 0
-    )
-    train = sample.filter(~F.col("kept"))
-    n, positive = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    kept = (F.pmod("at", F.lit(3)) == 0).alias("kept")
+    alike = unknown.unionByName(known).groupBy("kind", "f", "y", "form", kept).agg(F.count("*").alias("n"))
+    counted = stored(alike, "proposals")
+    train = counted.filter(~F.col("kept"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n, positive = train.agg(total(F.col("n")), total(F.col("n") * F.col("y"))).first()
     if not 0 < positive < n:
         return Model()
     model = Model(math.log(positive / (n - positive)))
@@ -325,16 +323,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
         if tree is None:
             break
         model = Model(model.bias, (*model.trees, tree))
-    # A full sample is of the smallest hashes, which are spread evenly: the largest tells which part it is.
-    u, last = sample.filter("y = 0").agg(F.count("*"), F.max("at")).first()
-    part = 1.0 if u < s.sample_rows else (last + 2.0**63) / 2.0**64
-    return Model(model.bias, model.trees, thresholds(sample.filter("kept"), model, part, s))
+    return Model(model.bias, model.trees, thresholds(counted.filter("kept"), model, s))
 
 
 def grow(train: DataFrame, model: Model, s: Settings) -> Tree | None:
-    """The next tree, from sums of the loss's slopes and curvatures per feature value."""
-    p = model.score(F.col("f"))
-    rows = train.select("f", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+    """The next tree, from sums of the loss's slopes and curvatures per feature value over ``n`` of each row."""
+    p, n = model.score(F.col("f")), F.col("n")
+    rows = train.select("f", (n * (F.col("y") - p)).alias("g"), (n * p * (1 - p)).alias("h"))
 
     def sums(node: Column) -> dict[int, dict[int, dict[int, tuple[float, float]]]]:
         """By node, feature and value; at most nodes x features x values rows."""
@@ -372,7 +367,7 @@ def grow(train: DataFrame, model: Model, s: Settings) -> Tree | None:
     return Tree(top, (sides[0][0], sides[1][0]), (*sides[0][1:], *sides[1][1:]))
 
 
-def thresholds(kept: DataFrame, model: Model, part: float, s: Settings) -> dict[str, float]:
+def thresholds(kept: DataFrame, model: Model, s: Settings) -> dict[str, float]:
     """Per kind the lowest score at and above which personal data have the share ``precision``.
 
     Scores are compared in steps of one on the scale of log odds. Of the unlabelled proposals, those that are
@@ -381,12 +376,11 @@ def thresholds(kept: DataFrame, model: Model, part: float, s: Settings) -> dict[
     the least of these bounds is taken for it, over scores that at least ``share`` of the masked spans reach. That
     number times the share of masked spans, over all proposals at and above a score, is the precision there, and
     the form of the highest counts. A score that far more unlabelled proposals reach than known spans tells
-    nothing. Where no score of the sample lies, the threshold is in the middle. ``part`` is that of the unlabelled
-    proposals in the sample.
+    nothing. Where no score lies, the threshold is in the middle.
     """
     step = F.floor(model.margin(F.col("f"))).cast("int")
     # At most kinds x forms x the range of the margin, which the trees' number and rate bound.
-    counts = kept.groupBy("kind", "form", step.alias("step")).agg(F.count("*").alias("n")).collect()
+    counts = kept.groupBy("kind", "form", step.alias("step")).agg(F.sum("n").alias("n")).collect()
     out: dict[str, float] = {}
     for kind in sorted({r["kind"] for r in counts}):
         own = {(r["form"], r["step"]): r["n"] for r in counts if r["kind"] == kind}
@@ -402,7 +396,7 @@ def thresholds(kept: DataFrame, model: Model, part: float, s: Settings) -> dict[
             precision = [max(p, number * x / max(u, 1)) for p, u, x in zip(precision, unknown, shares, strict=True)]
         masked_there = [sum(x) for x in zip(*forms, strict=True)] or [0] * len(steps)
         for i, at in enumerate(steps):
-            known = 0 < masked_there[i] and unknown[i] / part <= s.most_missed * masked_there[i] + 1
+            known = 0 < masked_there[i] and unknown[i] <= s.most_missed * masked_there[i] + 1
             if known and precision[i] >= s.precision:
                 below = steps[i + 1] + 1 if i + 1 < len(steps) else at
                 out[kind] = 1 / (1 + math.exp(-(at + below) / 2))

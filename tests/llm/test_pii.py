@@ -131,6 +131,18 @@ def test_without_anything_to_find_little_is_added(spark):
     assert sum(len(set(r["spans"].split(",")) - set(base(dict(data)[i])) - {""}) for i, r in found.items()) <= 6
 
 
+def test_all_proposals_and_all_known_spans_are_learned_from(spark, monkeypatch):
+    line = "call +1 (375) 555-4000 or +1 (375) 555-4001; pages 1-200-3000-11, 2-200-3000-11, 3-200-3000-11 or 4-200-3000-11 of it"
+    docs = spark.createDataFrame([(i, line) for i in range(6000)], "doc_id long, text string")
+    kept, stored = [], pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    assert pii.fit(docs).trees
+    n = dict(rows(kept[0].groupBy("y").agg({"n": "sum"})))
+    others = pii.proposals(pii.with_base(docs, "doc_id", "text")).selectExpr("size(filter(proposed, c -> NOT c.is_base)) AS n")
+    assert n[0] == others.agg({"n": "sum"}).first()[0] >= 21_000
+    assert n[1] >= 12_000
+
+
 def test_redaction_replaces_overlapping_spans_together(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd, +1 (375) 555-4393 190.137.2.1.")], "doc_id long, text string")
     out = pii.redact(pii.detect(docs, pii.Model())).first()["redacted"]
